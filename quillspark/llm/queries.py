@@ -7,20 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import table
+from quillspark.llm.langid import identify
 from quillspark.llm.packing import pack
+from quillspark.llm.pii import detect, learn
 from quillspark.llm.simple8b import token_output
+from quillspark.llm.vafile import search
+
+
+def op3_va_file_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), 2048, end_id=1, with_tokens=False)
 
 
+def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return detect(docs, learn(docs))
+
+
 def op10_simple8b_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), end_id=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_va_file_top10": op3_va_file_top10,
+    "op5_ppm_language": op5_ppm_language,
     "op6_harmonic_packing": op6_harmonic_packing,
+    "op9_bootstrapped_pii": op9_bootstrapped_pii,
     "op10_simple8b_output": op10_simple8b_output,
 }
 

@@ -19,10 +19,13 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Texts of these characters alone take the memo.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")
 
-#: Words kept by a worker at most; the memo starts anew beyond it.
-MEMO_WORDS = 600_000
+#: With these, or a space at an end, a single space may stand elsewhere than before a pre-token.
+ODD_SPACES = ("  ", " \n", "\n ", "\t", "\r")
 
-#: A pre-token longer than this is not kept.
+#: Pre-tokens and pieces kept by a worker at most; a memo starts anew beyond it.
+MEMO_WORDS, MEMO_CHUNKS = 1_000_000, 700_000
+
+#: Longer ones are not kept.
 MEMO_CHARS = 40
 
 _loaded: dict[str, TextEncoder] = {}
@@ -39,27 +42,63 @@ class TextEncoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.split = regex.compile(PRETOKEN).findall
-        self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        line = self.whole.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if not PLAIN.fullmatch(text):
+        if not (text.isascii() or PLAIN.fullmatch(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = self.split(text)
-        memo = self.memo
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        if new:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        out = np.frombuffer(b"".join([memo[w] for w in words]), "<u4")
-        for w in new:
-            if len(w) > MEMO_CHARS:
-                del memo[w]
-        return out
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        if text[0] == " " or text[-1] == " " or any(x in text for x in ODD_SPACES):
+            return np.frombuffer(self._joined(self.split(text)), "<u4")
+        # each piece after the first stands for itself with the space before it
+        first, *pieces = text.split(" ")
+        known = self.chunks
+        got = [*map(known.get, pieces)]
+        if None in got:
+            if len(known) > MEMO_CHUNKS:
+                known.clear()
+            own = {p: self.split(f" {p}") for p, ids in zip(pieces, got, strict=True) if ids is None}
+            self._learn({w for words in own.values() for w in words})
+            own = {p: self._joined(words) for p, words in own.items()}
+            known.update((p, ids) for p, ids in own.items() if len(p) <= MEMO_CHARS)
+            got = [own[p] if ids is None else ids for p, ids in zip(pieces, got, strict=True)]
+        got.insert(0, self._joined(self.split(first)))
+        return np.frombuffer(b"".join(got), "<u4")
+
+    def _joined(self, found: list[str]) -> bytes:
+        words = self.words
+        try:
+            return words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
+        except KeyError:
+            self._learn(set(found))
+        return b"".join([words[w] for w in found])
+
+    def _learn(self, found: set[str]) -> None:
+        """Ask the library for pre-tokens that the memo has not.
+
+        Those without white space inside go through it as lines of one text:
+        a line end is a pre-token of its own there, so the ids part at it.
+        """
+        words = self.words
+        new = [w for w in found if w not in words]
+        lines = [w for w in new if self.line is not None and (w[1:] if w[0] == " " else w).strip() == (w[1:] if w[0] == " " else w) != ""]
+        if lines:
+            ids = np.array(self.whole.encode("\n".join(lines), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(ids == self.line)
+            if len(at) == len(lines) - 1:
+                raw = ids.tobytes()
+                starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)]
+                for w, s, e in zip(lines, starts, ends, strict=True):
+                    words[w] = raw[s:e]
+        rest = [w for w in new if w not in words]
+        for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+            words[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def encoder(path: str) -> TextEncoder:
