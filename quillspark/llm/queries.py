@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import table
+from quillspark.llm.jaccard import jaccard_components
 from quillspark.llm.langid import identify
 from quillspark.llm.packing import pack
 from quillspark.llm.pii import detect, learn
 from quillspark.llm.simple8b import token_output
+from quillspark.llm.urlfilter import judge_urls, oracle
 from quillspark.llm.vafile import search
 
+#: The rules of the contract.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
 
 def op3_va_file_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
@@ -27,6 +42,10 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), 2048, end_id=1, with_tokens=False)
 
 
+def op8_grouped_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return detect(docs, learn(docs))
@@ -37,11 +56,15 @@ def op10_simple8b_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_templates": op2_url_templates,
     "op3_va_file_top10": op3_va_file_top10,
     "op5_ppm_language": op5_ppm_language,
     "op6_harmonic_packing": op6_harmonic_packing,
+    "op8_grouped_prefix_jaccard": op8_grouped_prefix_jaccard,
     "op9_bootstrapped_pii": op9_bootstrapped_pii,
     "op10_simple8b_output": op10_simple8b_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_templates": oracle(URL_RULES),
+}
