@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import table
+from quillspark.llm.decontam import contaminated
 from quillspark.llm.jaccard import jaccard_components
 from quillspark.llm.langid import identify
+from quillspark.llm.licenses import scan_licenses
 from quillspark.llm.packing import pack
 from quillspark.llm.pii import detect, learn
 from quillspark.llm.simple8b import token_output
+from quillspark.llm.suffix import remove_repeats
 from quillspark.llm.urlfilter import judge_urls, oracle
 from quillspark.llm.vafile import search
 
@@ -25,6 +28,10 @@ URL_RULES = [
 ]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("spans")
+
+
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -34,6 +41,10 @@ def op3_va_file_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
+def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -42,6 +53,10 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), 2048, end_id=1, with_tokens=False)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_grouped_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -56,10 +71,13 @@ def op10_simple8b_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_templates": op2_url_templates,
     "op3_va_file_top10": op3_va_file_top10,
+    "op4_latent_decontamination": op4_latent_decontamination,
     "op5_ppm_language": op5_ppm_language,
     "op6_harmonic_packing": op6_harmonic_packing,
+    "op7_license_scan": op7_license_scan,
     "op8_grouped_prefix_jaccard": op8_grouped_prefix_jaccard,
     "op9_bootstrapped_pii": op9_bootstrapped_pii,
     "op10_simple8b_output": op10_simple8b_output,
