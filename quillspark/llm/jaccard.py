@@ -22,6 +22,7 @@ copies costs a linear number of tests.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,22 +139,29 @@ def _sets(words: int, percent: int, heavy):
     return run
 
 
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, as shuffles carry them to their pairs."""
+    for batch in batches:
+        held = [zlib.compress((t.as_py() or "").encode("utf-8", "replace"), 4) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["row", "body"])
+
+
 def _verify(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[bytes, np.ndarray] = {}
 
-        def of(key: bytes, text: str) -> np.ndarray:
+        def of(key: bytes, body: pa.Scalar) -> np.ndarray:
             if key not in kept:
                 if len(kept) >= 64:
                     kept.clear()
-                kept[key] = shingles(text, words)
+                kept[key] = shingles(zlib.decompress(body.as_py()).decode(), words)
             return kept[key]
 
         for batch in batches:
             out = []
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                s, t = of(x, batch.column(2)[i].as_py()), of(y, batch.column(3)[i].as_py())
+                s, t = of(x, batch.column(2)[i]), of(y, batch.column(3)[i])
                 both = len(s) + len(t) - len(np.union1d(s, t))
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     out.append(i)
@@ -167,9 +175,10 @@ def _links(pairs: DataFrame, leads: DataFrame, docs: DataFrame, words: int, perc
     """The class pairs ``a, b`` that are similar, tested on the texts of the classes' first documents."""
     pairs = written(pairs)
     need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = written(docs.join(need.join(leads, "cls"), "row").select("cls", "text"))
-    side = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    kind = docs.schema["row"].dataType.simpleString()
+    texts = written(docs.mapInArrow(_bodies, f"row {kind}, body binary").join(need.join(leads, "cls"), "row").select("cls", "body"))
+    side = lambda c: texts.select(F.col("cls").alias(c), F.col("body").alias(f"body_{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b")
     return written(met.mapInArrow(_verify(words, percent), "a binary, b binary"))
 
 
