@@ -47,6 +47,10 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+#: Slices in which pairs of classes are tested one after another.
+SLICES = 4
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a shorter text is one, a text without words none."""
     found = (text or "").encode().lower().split()  # of bytes: A-Z alone, and white space of ASCII alone
@@ -178,8 +182,14 @@ def _links(pairs: DataFrame, leads: DataFrame, docs: DataFrame, words: int, perc
     kind = docs.schema["row"].dataType.simpleString()
     texts = written(docs.mapInArrow(_bodies, f"row {kind}, body binary").join(need.join(leads, "cls"), "row").select("cls", "body"))
     side = lambda c: texts.select(F.col("cls").alias(c), F.col("body").alias(f"body_{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b")
-    return written(met.mapInArrow(_verify(words, percent), "a binary, b binary"))
+    found = None
+    for k in range(SLICES):
+        # each pair carries a text to the other's, so pairs go slice by slice and one slice's shuffles end before the next
+        some = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == k)
+        met = some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b")
+        part = written(met.mapInArrow(_verify(words, percent), "a binary, b binary"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def similar(n_x: str, n_y: str, at_x: str, at_y: str, percent: int) -> str:
