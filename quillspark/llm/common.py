@@ -36,6 +36,16 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the tables of :func:`written` that ``df`` reads; nothing may read it any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for top in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if "/quillspark-" in top:
+            path = jvm.org.apache.hadoop.fs.Path(top)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

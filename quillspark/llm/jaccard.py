@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join by grouped prefixes.
 
 A document is the set of its distinct word shingles.  Under one total order of
-shingles, two sets whose Jaccard similarity reaches ``percent`` share a shingle
-among the first ``n - ceil(percent * n / 100) + 1`` of each.  Documents with
+shingles, two sets whose Jaccard similarity reaches ``percent`` share ``c``
+shingles among the first ``n - ceil(percent * n / 100) + c`` of each, ``c`` the
+smaller of ``COMMON`` and the overlap that they need.  Documents with
 the same prefix and size form one group, so an index entry stands for all of
 them; group pairs pass a size and a position filter, and only then members are
 taken apart and verified on their whole texts.
@@ -24,14 +25,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import forget, written
 from quillspark.llm.graph import components
 
 #: A shingle is heavy where it is in this share of some batch of documents.
@@ -43,35 +45,102 @@ HEAVY = 1 << 16
 #: Shingles of a batch for heavy hitters.
 BATCH_SHINGLES = 1 << 21
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Common shingles that prefixes are long enough to show; a pair with fewer is no candidate.
+COMMON = 4
 
+#: Bytes of a text whose words are hashed at once.
+WINDOW = 1 << 18
 
-#: Slices in which pairs of classes are tested one after another.
+#: Longer words, in bytes, are hashed one by one.
+LONG_WORD = 64
+
+#: Slices in which pairs of classes are tested one after another, and entries are dealt by shingle.
 SLICES = 4
 
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; a shorter text is one, a text without words none."""
-    found = (text or "").encode().lower().split()  # of bytes: A-Z alone, and white space of ASCII alone
-    if not found:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    size = min(words, len(own))
-    n = len(own) - size + 1
-    h = np.full(n, size, np.uint64)
-    for k in range(size):
-        h = h * _PRIME + own[k : k + n]
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(30)
     h *= _MIX[0]
     h ^= h >> np.uint64(27)
     h *= _MIX[1]
     h ^= h >> np.uint64(31)
-    return np.unique(h)
+    return h
+
+
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    byte = np.arange(256, dtype=np.uint64)
+    space = (byte == 0x20) | ((byte >= 0x09) & (byte <= 0x0D))
+    upper = (byte >= ord("A")) & (byte <= ord("Z"))
+    return space, _mixed((byte + np.uint64(32) * upper + np.uint64(1)) * _PRIME)
+
+
+#: Whether a byte is white space, and its value in a word's hash.
+_SPACE, _VALUE = _byte_tables()
+
+_FIRST = np.zeros(1, np.int64)
+
+#: Powers of the prime and of its inverse modulo 2**64.
+_POWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(WINDOW, _PRIME)]))
+_INVERSE = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(WINDOW, np.uint64(pow(int(_PRIME), -1, 1 << 64)))]))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z lower-cased, in order.
+
+    A word's hash is a polynomial of its bytes, read off running sums of the
+    window; windows end between words.
+    """
+    out, at, raw = [], 0, np.frombuffer(data, np.uint8)
+    while at < len(raw):
+        part = raw[at : at + WINDOW]
+        gaps = np.flatnonzero(_SPACE[part])
+        if at + len(part) < len(raw) and not (len(gaps) and gaps[-1] == len(part) - 1):
+            if not len(gaps):  # one word that fills the window
+                end = at + len(part)
+                while end < len(raw) and not _SPACE[raw[end]]:
+                    end += 1
+                out.append(np.array([xxhash.xxh3_64_intdigest(data[at:end].lower())], np.uint64))
+                at = end
+                continue
+            part = part[: gaps[-1] + 1]
+        starts, ends = np.concatenate([_FIRST, gaps + 1]), np.concatenate([gaps, [len(part)]])
+        if (empty := starts == ends).any():
+            starts, ends = starts[~empty], ends[~empty]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * _POWER[: len(part)], out=sums[1:])
+        h = _mixed((sums[ends] - sums[starts]) * _INVERSE[starts])
+        for k in np.flatnonzero(ends - starts > LONG_WORD):
+            h[k] = xxhash.xxh3_64_intdigest(data[at + starts[k] : at + ends[k]].lower())
+        out.append(h)
+        at += len(part)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles; a shorter text is one, a text without words none."""
+    own = word_hashes((text or "").encode())
+    if not len(own):
+        return own
+    size = min(words, len(own))
+    n = len(own) - size + 1
+    h = own[:n] + np.uint64(size)
+    for k in range(1, size):
+        h *= _PRIME
+        h += own[k : k + n]
+    h = np.sort(_mixed(h))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+def needed(n: int, percent: int) -> int:
+    """Common shingles that the prefix of a set of ``n`` shows with any similar set."""
+    return min(COMMON, -(-percent * n // 100))
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n + (-percent * n // 100) + 1
+    return n + (-percent * n // 100) + needed(n, percent)
 
 
 def _heavy(words: int):
@@ -166,7 +235,8 @@ def _verify(words: int, percent: int):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, (x, y) in enumerate(zip(a, b, strict=True)):
                 s, t = of(x, batch.column(2)[i]), of(y, batch.column(3)[i])
-                both = len(s) + len(t) - len(np.union1d(s, t))
+                met = np.sort(np.concatenate([s, t]))
+                both = int(np.count_nonzero(met[1:] == met[:-1]))
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     out.append(i)
             if out:
@@ -186,9 +256,10 @@ def _links(pairs: DataFrame, leads: DataFrame, docs: DataFrame, words: int, perc
     for k in range(SLICES):
         # each pair carries a text to the other's, so pairs go slice by slice and one slice's shuffles end before the next
         some = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == k)
-        met = some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b")
+        met = some.join(side("a").filter(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == k), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b")
         part = written(met.mapInArrow(_verify(words, percent), "a binary, b binary"))
         found = part if found is None else found.unionByName(part)
+    forget(texts)
     return found
 
 
@@ -198,6 +269,11 @@ def similar(n_x: str, n_y: str, at_x: str, at_y: str, percent: int) -> str:
     return f"100 * least({n_x}, {n_y}) >= {percent} * greatest({n_x}, {n_y}) and {100 + percent} * ({most}) >= {percent} * ({n_x} + {n_y})"
 
 
+def enough(n_x: str, n_y: str, percent: int) -> Column:
+    """Common prefix shingles that a similar pair shows at least: :func:`needed` of the smaller set."""
+    return F.least(F.lit(COMMON), F.ceil(F.least(n_x, n_y) * percent / 100))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``; more columns are ignored).
 
@@ -211,6 +287,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, words))
     sets = written(docs.mapInArrow(_sets(words, percent, heavy), SETS))
+    slim = written(sets.select("doc_id", "n_shingles", "cls"))
     full = sets.filter("n_shingles > 0")
     # a class: rows of one shingle set; its text is found again by a row that has the set
     classes = written(full.groupBy("cls", "grp", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("lead")))
@@ -221,17 +298,27 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         key = docs.mapInArrow(_keyed(words), "row binary, text string")
         numbered = key.dropDuplicates(["row"])
         leads = classes.select("cls", F.col("cls").alias("row"))
-    groups = full.select("grp", "n_shingles", "prefix").dropDuplicates(["grp"])
-    entries = groups.select("grp", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "token"))
+    # a group's number is written with it, so later tasks that are run again read the same one
+    groups = written(full.groupBy("grp").agg(F.first("prefix").alias("prefix"), F.first("n_shingles").alias("n")).withColumn("gid", F.monotonically_increasing_id()))
+    classes = written(classes.join(groups.select("grp", "gid"), "grp").select("cls", F.col("gid").alias("grp"), "n", "lead"))
+    forget(sets)
+    sets = slim
+    full = sets.filter("n_shingles > 0")
     per_token = Window.partitionBy("token")
     order = per_token.orderBy("n", "grp")
-    entries = entries.select(
-        "token", "grp", "n", "at", F.lag("grp").over(order).alias("near"), F.lag("n").over(order).alias("near_n"), F.lag("at").over(order).alias("near_at"), F.lead("grp").over(order).isNotNull().alias("more")
-    )
-    entries = written(entries.filter("near is not null or more").drop("more"))
+    slices = []
+    for k in range(SLICES):
+        # shingle by shingle range, so the shuffle of one slice ends before the next
+        some = groups.select(F.col("gid").alias("grp"), "n", F.posexplode("prefix").alias("at", "token")).filter(F.pmod(F.xxhash64("token"), F.lit(SLICES)) == k)
+        some = some.select(
+            "token", "grp", "n", "at", F.lag("grp").over(order).alias("near"), F.lag("n").over(order).alias("near_n"), F.lag("at").over(order).alias("near_at"), F.lead("grp").over(order).isNotNull().alias("more")
+        )
+        slices.append(written(some.filter("near is not null or more").drop("more")))
+    entries = reduce(DataFrame.unionByName, slices)
+    forget(groups)
     # round one: the neighbour with most common entries, and the first class of the own group
     first = classes.groupBy("grp").agg(F.min("cls").alias("top"))
-    near = entries.filter("near is not null and " + similar("n", "near_n", "at", "near_at", percent)).groupBy("grp", "near").agg(F.count(F.lit(1)).alias("c"))
+    near = entries.filter("near is not null and " + similar("n", "near_n", "at", "near_at", percent)).groupBy("grp", "near").agg(F.count(F.lit(1)).alias("c"), F.first(enough("n", "near_n", percent)).alias("least")).filter("c >= least")
     near = near.groupBy("grp").agg(F.max_by("near", "c").alias("near"))
     tops = first.join(near, "grp").select(F.col("top").alias("a"), F.col("near").alias("grp")).join(first, "grp").select("a", F.col("top").alias("b"))
     inner = classes.join(first, "grp").filter("cls != top").select(F.col("cls").alias("a"), F.col("top").alias("b"))
@@ -248,7 +335,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     x = open_.select("token", *(F.col(c).alias(f"x_{c}") for c in ("grp", "n", "at", "comp")))
     y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("grp", "n", "at", "comp")))
     met = x.join(y, "token").filter("x_comp < y_comp and " + similar("x_n", "y_n", "x_at", "y_at", percent))
-    met = met.select("x_grp", "x_comp", "y_grp", "y_comp")
+    keys = ["x_grp", "x_comp", "y_grp", "y_comp"]
+    met = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.first(enough("x_n", "y_n", percent)).alias("least")).filter("c >= least").select(*keys)
     # members of one group share its whole prefix, whether or not another group has a part of it
     x = parts.select("grp", F.col("grp").alias("x_grp"), F.col("comp").alias("x_comp"))
     y = parts.select("grp", F.col("grp").alias("y_grp"), F.col("comp").alias("y_comp"))
