@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ CONFIDENCE = 0.8
 #: Rounds of induction and scoring.
 ROUNDS = 3
 
-#: A pattern holds at least this share of all edges.
-SHARE = 1e-5
+#: Patterns that are sent to the workers at once.
+HELD = 1 << 20
 
 #: Places of a context's words, relative to the candidate's; one word alone must be a label, such as ``card:``.
 CONTEXTS = ((-1,), (-2, -1), (-3, -2, -1), (1, 2), (1, 2, 3), (-1, 1), (-2, -1, 1), (-1, 1, 2))
@@ -337,14 +338,20 @@ def learn(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENC
     graph = written(docs.select("text").mapInArrow(_edge_rows, EDGES).distinct())
     # no round can believe more instances than there are, nor a pattern with more ordinary words than this
     most = F.floor(F.col("n") / confidence - F.col("n") - 1 + 1e-9)
-    total = graph.count()
     sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).select("pattern", "n", most.alias("most"))
-    sizes = written(sizes.filter((F.col("n") >= support) & (F.col("most") >= 0) & (F.col("n") >= F.lit(SHARE * total / 3))))
-    listed = _array(sizes.select("pattern", "most"))
-    if not len(listed):
+    sizes = written(sizes.filter((F.col("n") >= support) & (F.col("most") >= 0)))
+    # a longer list goes in slices, each over all texts, so nothing is dropped
+    slices = -(-sizes.count() // HELD)
+    if not slices:
         return sizes.select("pattern")
-    held = spark.sparkContext.broadcast((listed[:, 0].copy(), listed[:, 1].copy()))
-    ordinary = written(docs.select("text").mapInArrow(_ordinary_rows(held), "pattern long, filler long"))
+    counted = []
+    for k in range(slices):
+        listed = _array(sizes.filter(F.pmod("pattern", F.lit(slices)) == k).select("pattern", "most"))
+        if len(listed):
+            held = spark.sparkContext.broadcast((listed[:, 0].copy(), listed[:, 1].copy()))
+            counted.append(written(docs.select("text").mapInArrow(_ordinary_rows(held), "pattern long, filler long")))
+            held.destroy()
+    ordinary = reduce(DataFrame.unionByName, counted)
     words = ordinary.groupBy("pattern").agg(F.countDistinct("filler").alias("words"), F.max(F.col("filler").isNull()).alias("gone"))
     live = sizes.join(words, "pattern", "left").filter("not coalesce(gone, false) and coalesce(words, 0) <= most")
     live = written(graph.join(live.select("pattern", F.coalesce("words", F.lit(0)).alias("words")), "pattern"))
@@ -387,6 +394,57 @@ def spans_of(text: str, believed: np.ndarray) -> tuple[list[tuple[int, int, int]
     return base, sorted(base + more) if more else base
 
 
+def _text_key(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "replace"))
+
+
+def _proposal_rows(at: int):
+    """Rows (text, start, end, pattern) of a column's texts, each text by its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for v in batch.column(at):
+                if (text := v.as_py()) and _IDENTIFIER.search(text):
+                    places, patterns = proposals(text, base_spans(text))
+                    rows += [(_text_key(text), s, e, p) for (s, e), own in zip(places, patterns.tolist(), strict=True) for p in own]
+            if rows:
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "start", "end", "pattern"])
+
+    return run
+
+
+def _with_spans(docs: DataFrame, believed: DataFrame, column: str):
+    """``docs`` and the function that gives a batch's texts their spans, (the rules', all).
+
+    The patterns go to the workers; where there are more than ``HELD``, the
+    candidates are joined to them instead, and ``docs`` gets their places as a
+    last column.
+    """
+    at = docs.columns.index(column)
+    if believed.count() <= HELD:
+        held = docs.sparkSession.sparkContext.broadcast(_array(believed)[:, 0])
+
+        def known(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for v in batch.column(at):
+                yield spans_of(v.as_py() or "", held.value)
+
+        return docs, known
+    places = docs.select(column).mapInArrow(_proposal_rows(0), "key binary, start long, end long, pattern long")
+    places = places.join(believed.distinct(), "pattern", "left_semi").select("key", "start", "end").distinct()
+    places = written(places.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("__places")))
+    keyed = F.udf(lambda t: _text_key(t) if t else None, "binary")
+    joined = docs.withColumn("__key", keyed(column)).join(places.withColumnRenamed("key", "__key"), "__key", "left").select(*docs.columns, "__places")
+
+    def looked_up(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for v, own in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            base = base_spans(v.as_py() or "")
+            yield base, sorted(base + [(p["start"], len(KINDS), p["end"]) for p in own]) if own else base
+
+    return joined, looked_up
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{(*KINDS, FOUND)[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -399,13 +457,12 @@ def detect(docs: DataFrame, believed: DataFrame) -> DataFrame:
 
     One row per row of ``docs``; a null text is an empty one.
     """
-    held = docs.sparkSession.sparkContext.broadcast(_array(believed)[:, 0])
+    rows, spans = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), believed, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                base, every = spans_of(text.as_py() or "", held.value)
+            for base, every in spans(batch):
                 n = [0] * len(KINDS)
                 for _, k, _ in base:
                     n[k] += 1
@@ -417,13 +474,13 @@ def detect(docs: DataFrame, believed: DataFrame) -> DataFrame:
                 names=["doc_id", *(f.split()[0] for f in DETECTED.split(", "))],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {DETECTED}")
+    return rows.mapInArrow(run, f"doc_id long, {DETECTED}")
 
 
-def redact_text(text: str, believed: np.ndarray) -> str:
+def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
     """``text`` with each run of overlapping spans replaced by ``<kind>`` of its first."""
     out, done, last = [], 0, -1
-    for s, k, e in spans_of(text, believed)[1]:
+    for s, k, e in spans:
         if s < last:
             last = max(last, e)
             continue
@@ -436,14 +493,14 @@ def redact_text(text: str, believed: np.ndarray) -> str:
 
 def redact(docs: DataFrame, believed: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with the spans of ``column`` replaced; other columns and null texts stay as they are."""
-    held = docs.sparkSession.sparkContext.broadcast(_array(believed)[:, 0])
     at, names = docs.columns.index(column), docs.columns
+    rows, spans = _with_spans(docs, believed, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [redact_text(t, held.value) if (t := v.as_py()) else t for v in batch.column(at)]
-            columns = list(batch.columns)
+            texts = [redact_text(t, every) if (t := v.as_py()) else t for v, (_, every) in zip(batch.column(at), spans(batch), strict=True)]
+            columns = list(batch.columns)[: len(names)]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)

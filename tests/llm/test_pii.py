@@ -1,9 +1,7 @@
 """Patterns that personal data are learned by: what they add, and what they leave."""
 
-import pytest
-
 from quillspark.llm import pii
-from quillspark.llm.pii import detect, learn
+from quillspark.llm.pii import detect, learn, redact
 
 
 def found(spark, rows):
@@ -56,3 +54,21 @@ def test_instances_believed_induce_patterns(spark):
     rows += [(600 + k, f"passport no {x} issued") for k, x in enumerate(ids)] + [(700, "passport no X-9999-Q issued")]
     got = found(spark, rows)
     assert got[700] == ["X-9999-Q"] and got[500] == [ids[0]]
+
+
+def test_small_context_beside_a_hot_source(spark):
+    hot = [(5000 + k, " ".join(f"{k:03x}{j:03x}9" for j in range(4000))) for k in range(200)]
+    phones = [(k, f"reach us on +44 20 7946 {1000 + k} today") for k in range(8)]
+    rows = [*phones, (900, "reach us on 555-123-4567 today")]
+    assert found(spark, rows)[900] == found(spark, rows + hot)[900] == ["555-123-4567"]
+
+
+def test_patterns_that_outgrow_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([*SEEDS, *SEEDS[:5], (900, "paid with card: C01X00T47 last week"), (None, "his mail: joe (at) site dot org is known"), (901, None)], "doc_id long, text string")
+    texts = lambda d: sorted(map(str, d.collect()))
+    want = texts(detect(docs, learn(docs))), texts(redact(docs, learn(docs)))
+    assert sum("<found>" in x for x in want[1]) == 2
+    monkeypatch.setattr(pii, "HELD", 12)
+    believed = learn(docs)
+    assert believed.count() > 12
+    assert (texts(detect(docs, believed)), texts(redact(docs, believed))) == want
