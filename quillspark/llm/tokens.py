@@ -1,15 +1,16 @@
 """Byte-level BPE ids through the ``tokenizers`` library, with a memo of words.
 
 A byte-level BPE never merges across pre-tokens, so the ids of a text are the
-ids of its pre-tokens in a row.  Each distinct pre-token goes through the
-library once per worker; texts with characters on which two regular-expression
-engines could differ go through it whole.
+ids of its pre-tokens in a row.  A pre-token that the memo of a worker has not
+goes through the library's model alone; texts with characters on which two
+regular-expression engines could differ go through the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -23,7 +24,7 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")
 ODD_SPACES = ("  ", " \n", "\n ", "\t", "\r")
 
 #: Pre-tokens and pieces kept by a worker at most; a memo starts anew beyond it.
-MEMO_WORDS, MEMO_CHUNKS = 1_000_000, 700_000
+MEMO_WORDS, MEMO_CHUNKS = 600_000, 700_000
 
 #: Longer ones are not kept.
 MEMO_CHARS = 40
@@ -31,8 +32,19 @@ MEMO_CHARS = 40
 _loaded: dict[str, TextEncoder] = {}
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class TextEncoder:
-    """Ids of texts as arrays of unsigned 32-bit integers, special tokens as ordinary text."""
+    """Ids of texts as arrays of unsigned 32-bit integers, those that ``encode(text, add_special_tokens=False)`` gives.
+
+    The contents of added tokens, such as ``<|endoftext|>``, are one id each
+    there; a text that holds one goes through the library whole.
+    """
 
     def __init__(self, path: str) -> None:
         import regex
@@ -40,17 +52,17 @@ class TextEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.model = self.whole.model
+        self.characters = _byte_characters()
         self.split = regex.compile(PRETOKEN).findall
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        line = self.whole.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if not (text.isascii() or PLAIN.fullmatch(text)):
+        if not (text.isascii() or PLAIN.fullmatch(text)) or any(x in text for x in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.words) > MEMO_WORDS:
             self.words.clear()
@@ -63,42 +75,28 @@ class TextEncoder:
         if None in got:
             if len(known) > MEMO_CHUNKS:
                 known.clear()
-            own = {p: self.split(f" {p}") for p, ids in zip(pieces, got, strict=True) if ids is None}
-            self._learn({w for words in own.values() for w in words})
-            own = {p: self._joined(words) for p, words in own.items()}
-            known.update((p, ids) for p, ids in own.items() if len(p) <= MEMO_CHARS)
-            got = [own[p] if ids is None else ids for p, ids in zip(pieces, got, strict=True)]
+            for k, ids in enumerate(got):
+                if ids is None:
+                    piece = pieces[k]
+                    got[k] = ids = self._word(f" {piece}") if piece.isalpha() else self._joined(self.split(f" {piece}"))
+                    if len(piece) <= MEMO_CHARS:
+                        known[piece] = ids
         got.insert(0, self._joined(self.split(first)))
         return np.frombuffer(b"".join(got), "<u4")
 
     def _joined(self, found: list[str]) -> bytes:
         words = self.words
-        try:
-            return words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
-        except KeyError:
-            self._learn(set(found))
-        return b"".join([words[w] for w in found])
-
-    def _learn(self, found: set[str]) -> None:
-        """Ask the library for pre-tokens that the memo has not.
-
-        Those without white space inside go through it as lines of one text:
-        a line end is a pre-token of its own there, so the ids part at it.
-        """
-        words = self.words
-        new = [w for w in found if w not in words]
-        lines = [w for w in new if self.line is not None and (w[1:] if w[0] == " " else w).strip() == (w[1:] if w[0] == " " else w) != ""]
-        if lines:
-            ids = np.array(self.whole.encode("\n".join(lines), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(ids == self.line)
-            if len(at) == len(lines) - 1:
-                raw = ids.tobytes()
-                starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)]
-                for w, s, e in zip(lines, starts, ends, strict=True):
-                    words[w] = raw[s:e]
-        rest = [w for w in new if w not in words]
-        for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            words[w] = np.array(e.ids, "<u4").tobytes()
+        return b"".join([words[w] if w in words else self._word(w) for w in found])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token, by the library's model; kept where it is short."""
+        ids = self.words.get(word)
+        if ids is None:
+            as_bytes = word.encode().decode("latin-1").translate(self.characters)
+            ids = array("I", [t.id for t in self.model.tokenize(as_bytes)]).tobytes()
+            if len(word) <= MEMO_CHARS:
+                self.words[word] = ids
+        return ids
 
 
 def encoder(path: str) -> TextEncoder:
