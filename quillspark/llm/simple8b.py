@@ -42,15 +42,19 @@ BLOCKS = (
 
 FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
+#: Bits of small values, filled when first asked for.
+_SMALL = np.zeros(1 << 17, np.uint8)
+
 
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits of each value below 2**60."""
-    out = np.zeros(len(ids), np.uint8)
-    for b in BITS[2:]:
-        at = BITS.index(b)
-        low = 0 if at == 2 else 1 << BITS[at - 1]
-        out[ids >= low if at > 2 else ids > 0] = b
-    return out
+    """Bits of each value below 2**60, rounded up to those of a selector."""
+    limits = np.array([1 << b for b in sorted(set(BITS))], np.uint64)
+    steps = np.array(sorted(set(BITS)), np.uint8)
+    if not len(ids) or int(ids.max()) >= len(_SMALL):
+        return steps[np.searchsorted(limits, ids, side="right")]
+    if not _SMALL[-1]:
+        _SMALL[:] = steps[np.searchsorted(limits, np.arange(len(_SMALL), dtype=np.uint64), side="right")]
+    return _SMALL[ids]
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,27 +75,24 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     padded = np.zeros(n + COUNTS[0], np.uint64)
     padded[:n] = ids
     width = _widths(padded)
-    # widest[c][i]: the most bits that any of the c ids from i on takes, made from shorter runs
+    # widest[i]: the most bits that any of the c ids from i on takes, made from shorter runs; a selector that
+    # takes more ids has fewer bits, so what fits it fits all those of fewer ids too
     selector = np.full(n, 15, np.uint8)
     widest, have = width, 1
     for s in range(14, -1, -1):
-        c = COUNTS[s]
-        step = c - have
-        # have < c <= 2 * have holds for each count of the table
+        step = COUNTS[s] - have
+        # have < COUNTS[s] <= 2 * have holds for each count of the table
         widest = np.maximum(widest[: len(widest) - step], widest[step:])
-        have = c
+        have = COUNTS[s]
         fits = widest[:n] <= BITS[s]
         if not fits.any():
-            if s > 1 and not (width[:n] <= BITS[s - 1]).any():
-                break
-            continue
-        selector[fits] = s
-    counts = np.array(COUNTS, np.int64)[selector]
-    ahead = (np.arange(n) + counts).tolist()
+            break
+        selector -= fits
+    step = np.array(COUNTS, np.uint8)[selector].tobytes()
     at, starts = 0, []
     while at < n:
         starts.append(at)
-        at = ahead[at]
+        at += step[at]
     starts = np.array(starts, np.int64)
     chosen = selector[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
@@ -106,14 +107,25 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return words, starts[::STRIDE], escape_at, escape_value
 
 
-def decode(words: np.ndarray, n: int, escape_at: np.ndarray, escape_value: np.ndarray) -> np.ndarray:
-    """The ``n`` values that :func:`encode` had."""
-    words = np.asarray(words, np.uint64)
-    chosen = (words >> np.uint64(60)).astype(np.int64)
-    counts = np.array(COUNTS, np.int64)[chosen]
-    ends = np.cumsum(counts)
-    starts = ends - counts
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+def decode(words: np.ndarray, n: int, escape_at: np.ndarray, escape_value: np.ndarray, offsets: np.ndarray, first: int = 0) -> np.ndarray:
+    """The values from ``first`` to ``n`` of those that :func:`encode` had.
+
+    Whole stretches of ``STRIDE`` words are decoded at once; their offsets say
+    where each begins, so only those that hold the values asked for are read.
+    """
+    offsets = np.asarray(offsets, np.int64)
+    if first >= n or not len(offsets):
+        return np.zeros(0, np.uint64)
+    low = int(np.searchsorted(offsets, first, side="right")) - 1
+    high = int(np.searchsorted(offsets, n, side="left"))
+    words = np.asarray(words, np.uint64)[low * STRIDE : high * STRIDE]
+    base = int(offsets[low])
+    chosen = (words >> np.uint64(60)).astype(np.uint8)
+    counts = np.zeros(-(-len(words) // STRIDE) * STRIDE, np.int64)
+    counts[: len(words)] = np.array(COUNTS, np.int64)[chosen]
+    ends = np.cumsum(counts.reshape(-1, STRIDE), axis=1)
+    starts = ((ends - counts.reshape(-1, STRIDE)) + (offsets[low:high] - base)[:, None]).ravel()[: len(words)]
+    out = np.zeros(int(starts[-1] + counts[len(words) - 1]), np.uint64)
     for s in np.unique(chosen).tolist():
         if not BITS[s]:
             continue
@@ -121,9 +133,11 @@ def decode(words: np.ndarray, n: int, escape_at: np.ndarray, escape_value: np.nd
         own, to, mask = words[which], starts[which], np.uint64((1 << BITS[s]) - 1)
         for k in range(COUNTS[s]):
             out[to + k] = (own >> np.uint64(k * BITS[s])) & mask
-    out = out[:n]
-    if len(escape_at):
-        out[np.asarray(escape_at, np.int64)] = np.asarray(escape_value, np.uint64)
+    out = out[first - base : n - base]
+    at = np.asarray(escape_at, np.int64)
+    if len(at):
+        some = (at >= first) & (at < n)
+        out[at[some] - first] = np.asarray(escape_value, np.uint64)[some]
     return out
 
 
@@ -176,9 +190,9 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for batch in batches:
         for row in range(batch.num_rows):
-            b = {name: batch.column(name)[row].as_py() for name in ("first", "base", "n_ids", "doc_ids", "doc_tokens", "words", "escape_at", "escape_value")}
+            b = {name: batch.column(name)[row].as_py() for name in ("first", "base", "n_ids", "doc_ids", "doc_tokens", "words", "offsets", "escape_at", "escape_value")}
             value = np.array([int(v) for v in b["escape_value"]], np.uint64)
-            ids = decode(np.frombuffer(b["words"], "<u8"), b["n_ids"], np.array(b["escape_at"], np.int64), value).astype("<u4")
+            ids = decode(np.frombuffer(b["words"], "<u8"), b["n_ids"], np.array(b["escape_at"], np.int64), value, np.array(b["offsets"], np.int64)).astype("<u4")
             n = np.array(b["doc_tokens"], np.int64)
             ends = np.cumsum(n)
             starts = ends - n
@@ -192,14 +206,16 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of ``docs`` (``doc_id``, ``text``; more columns are ignored) to ``path``.
 
-    Range-partitioned and sorted by ``doc_id`` (nulls first; rows with one id
-    in the order of their texts), so part by part and block by block the ids
-    stand in ascending order.  A null text is an empty one; a task holds one
-    block and one Arrow batch.
+    Range-partitioned and sorted by ``doc_id`` (nulls first), a hash of the
+    text and the row's place, so part by part and block by block the ids stand
+    in ascending order, and the rows of one id, were they a third of all, are
+    dealt over many parts.  A null text is an empty one; a task holds one block
+    and one Arrow batch, and a longer text is a block of its own.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", "hash", "place")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     blocks = rows.mapInArrow(_blocks(vocabulary or default_vocabulary(), end_id, block_ids), BLOCKS)
     blocks.write.option("compression", "none").parquet(path)
 
@@ -214,7 +230,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return blocks.join(F.broadcast(base), "part").drop("offsets").mapInArrow(_found, FOUND)
+    return blocks.join(F.broadcast(base), "part").mapInArrow(_found, FOUND)
 
 
 def token_output(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:

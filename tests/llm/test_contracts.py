@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm.langid import identify
-from quillspark.llm.packing import pack
+from quillspark.llm.packing import Bins, pack
 from quillspark.llm.pii import base_spans, detect, learn, redact
 from quillspark.llm.simple8b import decode, encode, token_output
 from quillspark.llm.vafile import search
@@ -86,13 +86,77 @@ def test_token_output(docs):
         at += len(own)
 
 
-@pytest.mark.parametrize("top", [1, 2, 300, 1 << 16, (1 << 32) - 1])
+@pytest.mark.parametrize("top", [1, 2, 300, 1 << 16, (1 << 32) - 1, (1 << 60) - 1, (1 << 60) + 5, (1 << 64) - 1])
 def test_simple8b_round_trip(top):
-    r = np.random.default_rng(top)
-    for n in (0, 1, 7, 240, 5000):
-        ids = r.integers(0, top, n, dtype=np.uint32, endpoint=True)
-        words, *_ = out = encode(ids)
-        assert (decode(words, n, *out[-2:]) == ids).all()
+    r = np.random.default_rng(top % 1000)
+    for n in (0, 1, 7, 240, 5000, 70_000):
+        ids = r.integers(0, top, n, dtype=np.uint64, endpoint=True)
+        ids[: n // 3] = np.minimum(ids[: n // 3], 1)
+        words, offsets, at, value = encode(ids)
+        assert (decode(words, n, at, value, offsets) == ids).all()
+        assert len(at) == (ids >= 1 << 60).sum() and len(offsets) == -(-len(words) // 1024)
+        # a reader may start anywhere and stop anywhere
+        for first, last in ((n // 2, n), (0, n // 2), (n // 3, n // 3 + 1), (n, n)):
+            last = min(last, n)
+            assert (decode(words, last, at, value, offsets, first) == ids[first:last]).all()
+
+
+def test_special_tokens_are_those_of_the_library(spark):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>a", "a<|endoftext|>", "<|endoftext|><|endoftext|>", "é <|endoftext|> x", "東<|endoftext|>", "<|endoftext|", " <|endoftext|> "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in token_output(docs, end_id=0).collect():
+        own = ids_of(texts[r["doc_id"]], 0)
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(own), zlib.crc32(own.tobytes()))
+    for r in pack(docs, 2048, end_id=1).collect():
+        own = ids_of(texts[r["doc_id"]], 1)
+        assert r["tokens"] == own[r["start"] : r["start"] + r["length"]].tolist() and r["doc_tokens"] == len(own)
+
+
+def test_output_of_one_repeated_id_and_one_long_text(spark):
+    docs = spark.createDataFrame([(5, f"copy {k % 3} of it") for k in range(300)] + [(None, "no id"), (2, "word " * 200_000)], "doc_id long, text string")
+    rows = sorted(token_output(docs, end_id=0).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None, 2, *[5] * 300]
+    assert all(x["start"] + x["n_tokens"] == y["start"] for x, y in zip(rows, rows[1:]))
+    crc = {zlib.crc32(ids_of(f"copy {k} of it", 0).tobytes()) for k in range(3)}
+    assert {r["ids_crc32"] for r in rows[2:]} == crc
+
+
+def packed_bins(lengths, capacity=2048):
+    """Pieces of documents of these lengths, held against the rules; their number and the share of padding."""
+    bins, out = Bins(capacity, 0), []
+    for key, n in enumerate(lengths):
+        out += bins.add(key, np.arange(n, dtype="<u4"))
+    out += bins.close()
+    pieces, sequences = {}, {}
+    for (key, start, ids, n), number, at in out:
+        assert n == lengths[key] and ids.tolist() == list(range(start, start + len(ids)))
+        pieces.setdefault(key, []).append((start, len(ids)))
+        sequences.setdefault(number, []).append((at, len(ids)))
+    for key, n in enumerate(lengths):
+        found = sorted(pieces[key])
+        assert sum(size for _, size in found) == n and all(a + b == c for (a, b), (c, _) in zip(found, found[1:]))
+    padded = 0
+    for found in sequences.values():
+        total = sum(size for _, size in found)
+        assert total <= capacity and sorted(found)[0][0] == 0
+        assert all(a + b == c for (a, b), (c, _) in zip(sorted(found), sorted(found)[1:]))
+        padded += capacity - total if total & (total - 1) else 0
+    return len(out), padded / max(1, sum(lengths))
+
+
+def test_harmonic_bins():
+    r = random.Random(5)
+    mixed = [max(1, int(r.lognormvariate(6.8, 1))) for _ in range(6000)]
+    n, padding = packed_bins(mixed)
+    least = sum(-(-k // 2048) for k in mixed)
+    assert n <= 1.4 * least and padding < 0.001
+    n, padding = packed_bins([r.randint(1, 60) for _ in range(20_000)])
+    assert n <= 20_100 and padding < 0.005
+    n, padding = packed_bins([r.randint(1025, 2047) for _ in range(3000)])
+    assert n <= 2 * 3000 and padding < 0.001
+    # a class of exact divisors takes its fixed count and needs no cut
+    assert packed_bins([512] * 4000) == (4000, 0) and packed_bins([2048] * 3) == (3, 0)
+    assert packed_bins([]) == (0, 0) and packed_bins([1]) == (1, 0)
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
