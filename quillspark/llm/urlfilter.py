@@ -1,17 +1,23 @@
 """URL filter by path-template trees, in DataFrame expressions alone.
 
 Rules of host and path come first; the longest that fits decides.  Other URLs
-are judged by templates.  Per host, paths form a tree of segments.  Level by
-level, a segment with digits is generalised to its shape, a node with many
-different segments to a wildcard, and branches whose labelled purity does not
-differ significantly from their siblings' are merged into one.  A path's
-template is its way through that tree; a template is rejected when its
-labelled purity, smoothed towards one half, is low.
+are judged by templates.  Per host, paths form a tree of segments.  Digits and
+hexadecimal identifiers are variable wherever they stand, so paths of one shape
+are one row from the start.  Then, level by level, a node with many different
+segments becomes a wildcard, and branches of similar labelled purity that do
+not differ significantly from each other are merged.  A path's template is its
+way through that tree.
+
+A node's purity is the share of good among its labels, smoothed towards its
+parent's, a host's towards one half.  So a template without labels has the
+purity of the nearest node above it that has some, a host without labels is
+allowed, and a template of low purity is rejected.
 
 Labels are whatever the caller has for pages; the pages that rules decide are
 the default.  All statistics are sums by (host, template, segment), which
-Spark adds up before the shuffle, over distinct paths; a hot host is one key of
-few rows.
+Spark adds up before the shuffle.  Each level ends in a table, which bounds the
+plan.  Verdicts of shapes with a large share of all rows, of which there can
+be few, are broadcast; the rest are joined by shape.
 """
 
 from __future__ import annotations
@@ -19,21 +25,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import written
+
 #: (allow or block, host, path): fits the host and its subdomains where the URL's path starts with the rule's.
 Rule = tuple[str, str, str]
 
-#: Levels of the tree; what lies deeper is one wildcard.
-DEPTH = 4
+#: Levels of the tree that are one segment each; the rest of a deeper path is one segment more, whatever its length.
+DEPTH = 6
 
 #: A node with at least this many different segments, of at most this many URLs each on average, becomes a wildcard.
 BRANCHES, MEAN_URLS = 8, 4
 
-#: A branch needs this many labelled URLs to differ from its siblings, by more than so many standard errors.
-LABELLED, ERRORS = 5, 2.0
+#: A branch needs this many labels to be merged, with others in its band of purity, within so many standard errors.
+LABELLED, BANDS, ERRORS = 5, 4, 2.0
 
-#: Smoothed purity below which a template is rejected; PRIOR labels of purity one half are added.
+#: Smoothed purity below which a template is rejected, and the labels that the parent's purity counts for.
 PURITY, PRIOR = 0.4, 2.0
 
+#: A shape of this share of all rows is hot; there are at most ``1 / HOT`` of them.
+HOT = 1 / 1024
+
 
 def parsed(url: str) -> tuple[Column, Column]:
     """Host and path of a URL column; both empty where it is null or has no ``://``."""
@@ -55,62 +66,92 @@ def ruled(rules: list[Rule], host: Column, path: Column) -> Column:
     return found
 
 
-def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``host, path, template, good, bad`` of distinct ``paths`` (``host, path, n, good, bad``)."""
-    tree = paths.withColumn("segments", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("template", F.lit(""))
-    for level in range(depth):
-        inside = F.size("segments") > level
-        raw = F.col("segments")[level]
-        # digits, then hexadecimal digits of identifiers, are variable whatever their number
-        shaped = F.when(raw.rlike(r"[0-9]"), F.regexp_replace(F.regexp_replace(raw, r"[0-9a-f]{8,}", "<x>"), r"[0-9]+", "<n>")).otherwise(raw)
-        tree = tree.withColumn("branch", F.when(inside, shaped))
-        kinds = tree.groupBy("host", "template", "branch").agg(F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
-        nodes = kinds.groupBy("host", "template").agg(F.count("branch").alias("branches"), F.sum("n").alias("all_n"), F.sum("g").alias("all_g"), F.sum("b").alias("all_b"))
-        kinds = kinds.join(nodes, ["host", "template"])
-        wild = (F.col("branches") >= BRANCHES) & (F.col("all_n") <= MEAN_URLS * F.col("branches"))
-        own, others = F.col("g") + F.col("b"), F.col("all_g") + F.col("all_b") - F.col("g") - F.col("b")
-        p = (F.col("all_g") / (own + others)).cast("double")
-        gap = F.abs(F.col("g") / own - (F.col("all_g") - F.col("g")) / others)
-        alike = (own >= LABELLED) & (others >= LABELLED) & (gap <= ERRORS * F.sqrt(p * (1 - p) * (1 / own + 1 / others)))
-        merged = F.when(F.col("branch").isNull(), "").when(wild, "/*").when(F.coalesce(alike, F.lit(False)), "/~").otherwise(F.concat(F.lit("/"), F.col("branch")))
-        step = kinds.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("branch").alias("s"), merged.alias("step"))
-        same = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & F.col("branch").eqNullSafe(F.col("s"))
-        tree = tree.join(step, same).withColumn("template", F.concat("template", "step")).drop("h", "t", "s", "step", "branch")
-    deeper = F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return tree.select("host", "path", deeper.alias("template"), "good", "bad")
+def shaped(path: Column) -> Column:
+    """The segments of a path, identifiers and numbers replaced by what they are."""
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+    shape = lambda x: F.regexp_replace(F.regexp_replace(x, r"[0-9a-f]{8,}", "<x>"), r"[0-9]+", "<n>")
+    return F.transform(segments, lambda x: F.when(x.rlike("[0-9]"), shape(x)).otherwise(x))
+
+
+def _level(tree: DataFrame, k: int, depth: int) -> DataFrame:
+    """``tree`` with the templates and purities of one level more."""
+    deeper = F.size("segments") > k
+    own = F.col("segments")[k] if k < depth else F.concat_ws("/", F.slice("segments", depth + 1, F.size("segments")))
+    tree = tree.withColumn("branch", F.when(deeper, own))
+    node = ["host", "template"]
+    kinds = tree.groupBy(*node, "branch").agg(F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"), F.max("purity").alias("above"))
+    labels = F.col("g") + F.col("b")
+    kinds = written(kinds.withColumn("band", F.when((labels >= LABELLED) & F.col("branch").isNotNull(), F.floor(F.col("g") / labels * BANDS))))
+    nodes = kinds.groupBy(*node).agg(F.count("branch").alias("branches"), F.sum("n").alias("all_n"))
+    bands = kinds.filter("band is not null").groupBy(*node, "band").agg(F.sum("g").alias("band_g"), F.sum("b").alias("band_b"))
+    kinds = kinds.join(nodes, node).join(bands, [*node, "band"], "left")
+    wild = (F.col("branches") >= BRANCHES) & (F.col("all_n") <= MEAN_URLS * F.col("branches"))
+    others = F.col("band_g") + F.col("band_b") - labels
+    p = F.col("band_g") / (labels + others)
+    gap = F.abs(F.col("g") / labels - (F.col("band_g") - F.col("g")) / others)
+    alike = F.when(others >= LABELLED, gap <= ERRORS * F.sqrt(p * (1 - p) * (1 / labels + 1 / others)))
+    merged = F.concat(F.lit("/~"), F.col("band").cast("string"))
+    step = F.when(F.col("branch").isNull(), "").when(wild, "/*").when(F.coalesce(alike, F.lit(False)), merged).otherwise(F.concat(F.lit("/"), F.col("branch")))
+    steps = written(kinds.select(*node, "branch", step.alias("step"), "g", "b", "above"))
+    pure = (F.sum("g") + PRIOR * F.max("above")) / (F.sum("g") + F.sum("b") + PRIOR)
+    sums = steps.groupBy(*node, "step").agg(pure.alias("below"))
+    steps = steps.join(sums, [*node, "step"]).select(
+        F.col("host").alias("h"), F.col("template").alias("t"), F.col("branch").alias("s"), "step", F.when(F.col("branch").isNull(), F.col("above")).otherwise(F.col("below")).alias("below")
+    )
+    same = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & F.col("branch").eqNullSafe(F.col("s"))
+    return written(tree.join(steps, same).select("host", "shape", "segments", F.concat("template", "step").alias("template"), F.col("below").alias("purity"), "n", "good", "bad"))
+
+
+def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``host, shape, template, purity, n`` of ``shapes`` (``host, shape, segments, n, good, bad``)."""
+    shapes = written(shapes)
+    levels = shapes.agg(F.max(F.size("segments"))).first()[0] or 0
+    hosts = shapes.groupBy("host").agg(((F.sum("good") + PRIOR / 2) / (F.sum("good") + F.sum("bad") + PRIOR)).alias("purity"))
+    tree = shapes.join(hosts, "host").select("host", "shape", "segments", F.lit("").alias("template"), "purity", "n", "good", "bad")
+    for k in range(min(depth + 1, levels)):
+        tree = _level(tree, k, depth)
+    return tree.select("host", "shape", "template", "purity", "n")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None) -> DataFrame:
-    """``page_id, host, path, rule, verdict, template, purity`` for every row of ``pages`` (``page_id``, ``url``).
+    """``page_id, host, path, rule, verdict, template, purity`` for every row of ``pages`` (``page_id``, ``url``; more columns are ignored).
 
     ``labels`` (``page_id``, ``good`` 0 or 1) stand in for the rules' verdicts
     as labels.  A URL that is null or has no ``://`` has an empty host and path
-    and is judged as those; a template without labels has purity one half and
-    is allowed.  Rows that repeat are judged each; null ids are kept.
+    and is judged as those, however long it is.  Without any labels every purity
+    is one half and all is allowed.  Rows that repeat are judged each, and count
+    each; null ids are kept; an empty table gives no rows.
     """
     host, path = parsed("url")
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     fit = ruled(rules, F.col("host"), F.col("path"))
-    rows = rows.select("page_id", "host", "path", fit.alias("fit")).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("by_rule"))
+    rows = rows.select("page_id", "host", "path", fit.alias("fit"), shaped(F.col("path")).alias("segments"))
+    rows = rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("by_rule"), "segments", F.concat_ws("/", "segments").alias("shape"))
     if labels is None:
         marked = rows.withColumn("good", F.when(F.col("by_rule") == "allow", 1).when(F.col("by_rule") == "block", 0))
     else:
         marks = labels.groupBy("page_id").agg(F.min("good").alias("good"))
         marked = rows.join(marks, "page_id", "left")
-    paths = marked.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad"))
-    tree = templates(paths)
-    pure = tree.groupBy("host", "template").agg(((F.sum("good") + PRIOR / 2) / (F.sum("good") + F.sum("bad") + PRIOR)).alias("purity"))
-    verdicts = tree.select("host", "path", "template").join(pure, ["host", "template"])
-    by_method = F.when(F.col("purity") < PURITY, "block").otherwise("allow")
-    judged = rows.join(verdicts, ["host", "path"], "left")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "template", "purity")
+    sums = (F.count(F.lit(1)).alias("n"), F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad"))
+    judged = written(templates(marked.groupBy("host", "shape", "segments").agg(*sums)))
+    total = judged.agg(F.sum("n")).first()[0] or 0
+    hot = judged.filter(F.col("n") >= max(1.0, total * HOT)).select("host", "shape", F.col("template").alias("hot_template"), F.col("purity").alias("hot_purity"))
+    found = rows.drop("segments").join(F.broadcast(hot), ["host", "shape"], "left")
+    # rows of hot shapes have their answer; for the other join they are dealt by a key of their own that meets nothing
+    known = F.col("hot_template").isNotNull()
+    found = found.withColumn("at_host", F.when(~known, F.col("host"))).withColumn("at_shape", F.when(known, F.xxhash64("page_id", "path").cast("string")).otherwise(F.col("shape")))
+    rest = judged.select(F.col("host").alias("at_host"), F.col("shape").alias("at_shape"), F.col("template").alias("own_template"), F.col("purity").alias("own_purity"))
+    found = found.join(rest, ["at_host", "at_shape"], "left")
+    template, purity = F.coalesce("hot_template", "own_template"), F.coalesce("hot_purity", "own_purity")
+    by_method = F.when(purity < PURITY, "block").otherwise("allow")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), template.alias("template"), purity.alias("purity"))
 
 
 def oracle(rules: list[Rule], depth: int = DEPTH) -> str:
     """The query over ``pages`` with the rules' labels, in DuckDB SQL."""
     case = ["case"]
     for verdict, host, path in sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r)):
-        case.append(f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then '{{}}'".format(f"{verdict} {host}{path}"))
+        case.append(f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then '{verdict} {host}{path}'")
     fit = " ".join([*case, "end"])
     sql = f"""
 with cut as (
@@ -120,36 +161,40 @@ with cut as (
 ), hosted as (
   select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*') as path from named
 ), fitted as (
-  select *, {fit} as fit from hosted
-), ruled as (
-  select page_id, host, path, split_part(fit, ' ', 2) as rule, split_part(fit, ' ', 1) as by_rule from fitted
-), t0 as (
-  select host, path, count(*) as n, count(*) filter (by_rule = 'allow') as good, count(*) filter (by_rule = 'block') as bad,
-    string_split(regexp_replace(path, '^/', ''), '/') as segments, '' as template
-  from ruled group by host, path
+  select *, {fit} as fit, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda x: case when regexp_matches(x, '[0-9]') then
+    regexp_replace(regexp_replace(x, '[0-9a-f]{{8,}}', '<x>', 'g'), '[0-9]+', '<n>', 'g') else x end) as segments from hosted
+), ruled as materialized (
+  select page_id, host, path, split_part(fit, ' ', 2) as rule, split_part(fit, ' ', 1) as by_rule, segments, array_to_string(segments, '/') as shape from fitted
+), shapes as materialized (
+  select host, shape, segments, count(*) as n, count(*) filter (by_rule = 'allow') as good, count(*) filter (by_rule = 'block') as bad from ruled group by all
+), t0 as materialized (
+  select host, shape, segments, n, good, bad, '' as template,
+    (sum(good) over w + {PRIOR / 2}) / (sum(good) over w + sum(bad) over w + {PRIOR}) as purity
+  from shapes window w as (partition by host)
 )"""
-    for k in range(depth):
-        raw = f"segments[{k + 1}]"
-        sql += f""", s{k} as (
-  select *, case when len(segments) > {k} then case when regexp_matches({raw}, '[0-9]') then
-    regexp_replace(regexp_replace({raw}, '[0-9a-f]{{8,}}', '<x>', 'g'), '[0-9]+', '<n>', 'g') else {raw} end end as branch from t{k}
-), k{k} as (
-  select host, template, branch, sum(n) as n, sum(good) as g, sum(bad) as b from s{k} group by all
-), m{k} as (
-  select *, count(branch) over w as branches, sum(n) over w as all_n, sum(g) over w as all_g, sum(b) over w as all_b from k{k} window w as (partition by host, template)
-), j{k} as (
-  select host, template, branch, case when branch is null then '' when branches >= {BRANCHES} and all_n <= {MEAN_URLS} * branches then '/*'
-    when g + b >= {LABELLED} and all_g + all_b - g - b >= {LABELLED} and abs(g / (g + b) - (all_g - g) / (all_g + all_b - g - b))
-      <= {ERRORS} * sqrt((all_g / (all_g + all_b)) * (1 - all_g / (all_g + all_b)) * (1 / (g + b) + 1 / (all_g + all_b - g - b))) then '/~'
-    else '/' || branch end as step from m{k}
-), t{k + 1} as (
-  select host, path, n, good, bad, segments, s.template || step as template from s{k} s join j{k} j using (host)
-  where s.template = j.template and s.branch is not distinct from j.branch
+    for k in range(depth + 1):
+        own = f"segments[{k + 1}]" if k < depth else f"array_to_string(segments[{depth + 1}:], '/')"
+        sql += f""", s{k} as materialized (
+  select *, case when len(segments) > {k} then {own} end as branch from t{k}
+), k{k} as materialized (
+  select host, template, branch, sum(n) as n, sum(good) as g, sum(bad) as b, max(purity) as above,
+    case when sum(good) + sum(bad) >= {LABELLED} and branch is not null then floor(sum(good) / (sum(good) + sum(bad)) * {BANDS}) end as band
+  from s{k} group by host, template, branch
+), m{k} as materialized (
+  select *, count(branch) over w as branches, sum(n) over w as all_n, sum(g) over v as band_g, sum(b) over v as band_b
+  from k{k} window w as (partition by host, template), v as (partition by host, template, band)
+), j{k} as materialized (
+  select host, template, branch, g, b, above, case when branch is null then '' when branches >= {BRANCHES} and all_n <= {MEAN_URLS} * branches then '/*'
+    when band is not null and band_g + band_b - g - b >= {LABELLED} and abs(g / (g + b) - (band_g - g) / (band_g + band_b - g - b))
+      <= {ERRORS} * sqrt((band_g / (band_g + band_b)) * (1 - band_g / (band_g + band_b)) * (1 / (g + b) + 1 / (band_g + band_b - g - b)))
+    then '/~' || cast(cast(band as bigint) as varchar) else '/' || branch end as step from m{k}
+), p{k} as materialized (
+  select *, case when branch is null then above else (sum(g) over w + {PRIOR} * above) / (sum(g) over w + sum(b) over w + {PRIOR}) end as below
+  from j{k} window w as (partition by host, template, step)
+), t{k + 1} as materialized (
+  select s.host, shape, segments, n, good, bad, s.template || step as template, below as purity from s{k} s join p{k} p
+  on s.host = p.host and s.template = p.template and s.branch is not distinct from p.branch
 )"""
-    return f"""{sql}, closed as (
-  select host, path, good, bad, case when len(segments) > {depth} then template || '/**' else template end as template from t{depth}
-), pure as (
-  select host, template, (sum(good) + {PRIOR / 2}) / (sum(good) + sum(bad) + {PRIOR}) as purity from closed group by host, template
-)
-select page_id, host, path, nullif(r.rule, '') as rule, coalesce(nullif(by_rule, ''), case when purity < {PURITY} then 'block' else 'allow' end) as verdict, template, purity
-from ruled r join closed using (host, path) join pure using (host, template)"""
+    return f"""{sql}
+select page_id, r.host, path, nullif(r.rule, '') as rule, coalesce(nullif(by_rule, ''), case when purity < {PURITY} then 'block' else 'allow' end) as verdict, template, purity
+from ruled r join t{depth + 1} t on r.host = t.host and r.shape = t.shape"""
