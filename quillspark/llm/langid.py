@@ -164,7 +164,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, rows: int = ROWS, row_bytes: int = ROW_BYTES) -> list[tuple[str, bytes]]:
-    """At most ``rows`` labelled rows a language, chosen by a hash of the id; known to the driver.
+    """At most ``rows`` labelled rows a language, chosen by a hash of id and text; known to the driver.
 
     Bounded by languages x ``rows`` x ``row_bytes``.  Rates come from exact
     counts of all labelled rows, so no language gathers in one task.
@@ -173,10 +173,10 @@ def training_rows(docs: DataFrame, rows: int = ROWS, row_bytes: int = ROW_BYTES)
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
-    scale = 1 << 20
+    scale = 1 << 40
     cut = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(scale, 1 + int(1.4 * rows * scale / n))))))
     text = F.encode("text", "utf-8")
-    sample = usable.filter((F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < cut[F.col("lang")]) & F.col("text").isNotNull())
+    sample = usable.filter((F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < cut[F.col("lang")]) & F.col("text").isNotNull())
     sample = sample.select("doc_id", "lang", text.alias("text")).filter(F.length("text").between(1, row_bytes))
     out: list[tuple[str, bytes]] = []
     taken: dict[str, int] = {}
