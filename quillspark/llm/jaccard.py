@@ -13,17 +13,23 @@ rest by hash.  Any total order gives the same links, so counting heavy hitters
 alone is a matter of speed.
 
 Links make components, and a component does not need all of its pairs.  Round
-one verifies for every group and class one likely partner: the class that leads
-its group, and the neighbour in the index with which the group shares most
-entries.  Round two verifies every remaining candidate pair that runs between
-two components of round one.  No pair between components stays untested, so
-the components are those of all links, while a cluster of thousands of near
-copies costs a linear number of tests.
+one verifies for every group one likely partner, the hub: of the groups in an
+index entry, the one that shares most entries with others, which in a cluster
+of edited copies is the text that they were made from.  Classes of one group
+meet the group's first.
+
+Round two has to find every link between two components of round one.  Texts
+that share entries with another component are indexed anew, now with shingles
+in order of their number among these texts, so an edited copy's own shingles
+stand first.  A prefix that they fill has no similar text at all, and where they
+stand before a common shingle, the position filter knows that they are not
+common themselves.
+So texts that are alike, but not enough, are told apart by the index and not by
+pairs, and pairs inside a component are never made.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -54,9 +60,21 @@ WINDOW = 1 << 18
 #: Longer words, in bytes, are hashed one by one.
 LONG_WORD = 64
 
-#: Slices in which pairs of classes are tested one after another, and entries are dealt by shingle.
+#: Slices in which entries are dealt by shingle.
 SLICES = 4
 
+#: Parts over which entries of one heavy shingle are dealt.
+PARTS = 64
+
+#: Entries that are met one by one to see whether groups have enough in common.
+FEW = 16
+
+#: Rounds of likely pairs between components, before all that are left are tested; the links found are the same whatever their number.
+ROUNDS = 1
+
+#: A list of classes whose texts are asked for is broadcast if it has no more rows (of 24 bytes).
+ASKED = 1 << 19
+
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -87,8 +105,8 @@ _POWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(WINDOW, _PRIM
 _INVERSE = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(WINDOW, np.uint64(pow(int(_PRIME), -1, 1 << 64)))]))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, A-Z lower-cased, in order.
+def word_hashes(data: bytes, space: np.ndarray = _SPACE) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z lower-cased, in order; ``space`` marks the bytes between words.
 
     A word's hash is a polynomial of its bytes, read off running sums of the
     window; windows end between words.
@@ -96,11 +114,11 @@ def word_hashes(data: bytes) -> np.ndarray:
     out, at, raw = [], 0, np.frombuffer(data, np.uint8)
     while at < len(raw):
         part = raw[at : at + WINDOW]
-        gaps = np.flatnonzero(_SPACE[part])
+        gaps = np.flatnonzero(space[part])
         if at + len(part) < len(raw) and not (len(gaps) and gaps[-1] == len(part) - 1):
             if not len(gaps):  # one word that fills the window
                 end = at + len(part)
-                while end < len(raw) and not _SPACE[raw[end]]:
+                while end < len(raw) and not space[raw[end]]:
                     end += 1
                 out.append(np.array([xxhash.xxh3_64_intdigest(data[at:end].lower())], np.uint64))
                 at = end
@@ -169,11 +187,21 @@ def _heavy(words: int):
 def heavy_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """The heavy shingles of a corpus from rare to frequent; ``HEAVY`` at most.  Every text is counted."""
     found = docs.select("text").mapInArrow(_heavy(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas()
-    return rows["token"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    rows = found.orderBy(F.desc("n"), "token").limit(HEAVY).select("token").toLocalIterator()
+    return np.fromiter((r[0] for r in rows), np.int64)[::-1].copy().view(np.uint64)
+
+
+def parted(h: np.ndarray, by_hash: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set that are not heavy, and the sorted ranks of those that are."""
+    if not len(by_hash):
+        return h, np.zeros(0, np.int64)
+    at = np.searchsorted(by_hash, h)
+    at[at == len(by_hash)] = 0
+    common = by_hash[at] == h
+    return h[~common], np.sort(place[at[common]])
 
 
-SETS = "doc_id long, n_shingles long, cls binary, grp binary, prefix array<long>"
+SETS = "doc_id long, n_shingles long, cls binary, grp binary, prefix array<long>, light int"
 
 
 def _sets(words: int, percent: int, heavy):
@@ -182,7 +210,7 @@ def _sets(words: int, percent: int, heavy):
         place = np.argsort(frequent)
         by_hash = frequent[place]
         for batch in batches:
-            n, cls, grp, prefix = [], [], [], []
+            n, cls, grp, prefix, light = [], [], [], [], []
             for text in batch.column(1):
                 h = shingles(text.as_py(), words)
                 n.append(len(h))
@@ -190,90 +218,176 @@ def _sets(words: int, percent: int, heavy):
                 if not len(h):
                     grp.append(b"")
                     prefix.append(None)
+                    light.append(0)
                     continue
                 length = prefix_length(len(h), percent)
-                first = h
-                if len(by_hash):
-                    at = np.searchsorted(by_hash, h)
-                    at[at == len(by_hash)] = 0
-                    common = by_hash[at] == h
-                    if common.any():
-                        first = h[~common]
-                        if len(first) < length:
-                            first = np.concatenate([first, frequent[np.sort(place[at[common]])]])
+                first, ranks = parted(h, by_hash, place)
+                light.append(min(len(first), length))
+                if len(first) < length and len(ranks):
+                    first = np.concatenate([first, frequent[ranks]])
                 first = first[:length]
                 grp.append(xxhash.xxh3_128_digest(first.tobytes() + len(h).to_bytes(8, "little")))
                 prefix.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(grp, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "cls", "grp", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(grp, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(light, pa.int32())],
+                names=["doc_id", "n_shingles", "cls", "grp", "prefix", "light"],
             )
 
     return run
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one, as shuffles carry them to their pairs."""
-    for batch in batches:
-        held = [zlib.compress((t.as_py() or "").encode("utf-8", "replace"), 4) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["row", "body"])
+ARRAYS = "cls binary, light array<long>, heavy array<int>"
 
 
-def _verify(words: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, np.ndarray] = {}
-
-        def of(key: bytes, body: pa.Scalar) -> np.ndarray:
-            if key not in kept:
-                if len(kept) >= 64:
-                    kept.clear()
-                kept[key] = shingles(zlib.decompress(body.as_py()).decode(), words)
-            return kept[key]
+def _arrays(words: int, heavy):
+    """Whole shingle sets of texts: those that are not heavy by hash, and the ranks of those that are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.argsort(heavy.value)
+        by_hash = heavy.value[place]
         for batch in batches:
-            out = []
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                s, t = of(x, batch.column(2)[i]), of(y, batch.column(3)[i])
-                met = np.sort(np.concatenate([s, t]))
-                both = int(np.count_nonzero(met[1:] == met[:-1]))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    out.append(i)
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out)), batch.column(1).take(pa.array(out))], names=["a", "b"])
+            some = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))
+            for s in range(0, batch.num_rows, some):
+                part = batch.slice(s, some)
+                sets = [parted(shingles(t.as_py(), words), by_hash, place) for t in part.column(1)]
+                light, ranks = (pa.array([x[k].view(np.int64) for x in sets], pa.list_(pa.int64())) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), light, ranks.cast(pa.list_(pa.int32()))], names=["cls", "light", "heavy"])
 
     return run
 
 
-def _links(pairs: DataFrame, leads: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The class pairs ``a, b`` that are similar, tested on the texts of the classes' first documents."""
-    pairs = written(pairs)
-    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    kind = docs.schema["row"].dataType.simpleString()
-    texts = written(docs.mapInArrow(_bodies, f"row {kind}, body binary").join(need.join(leads, "cls"), "row").select("cls", "body"))
-    side = lambda c: texts.select(F.col("cls").alias(c), F.col("body").alias(f"body_{c}"))
-    found = None
-    for k in range(SLICES):
-        # each pair carries a text to the other's, so pairs go slice by slice and one slice's shuffles end before the next
-        some = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == k)
-        met = some.join(side("a").filter(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == k), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b")
-        part = written(met.mapInArrow(_verify(words, percent), "a binary, b binary"))
-        found = part if found is None else found.unionByName(part)
-    forget(texts)
-    return found
+def _shingle_sets(need: DataFrame, leads: DataFrame, docs: DataFrame, words: int, heavy) -> DataFrame:
+    """The table ``ARRAYS`` of the classes in ``need`` (``cls``), each read from one of its texts."""
+    rows = written(leads.join(need.distinct(), "cls"))
+    small = F.broadcast(rows) if rows.count() <= ASKED else rows
+    return written(docs.join(small, "row").select("cls", "text").mapInArrow(_arrays(words, heavy), ARRAYS))
 
 
-def similar(n_x: str, n_y: str, at_x: str, at_y: str, percent: int) -> str:
-    """SQL: sizes fit, and the shingles before and after a common one can still make up the needed overlap."""
-    most = f"least({at_x}, {at_y}) + 1 + least({n_x} - {at_x} - 1, {n_y} - {at_y} - 1)"
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The class pairs ``a, b`` whose sets are similar."""
+    side = lambda c: sets.select(F.col("cls").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("light", "heavy")))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    sizes = sum((F.size(f"{k}_{c}") for k in ("light", "heavy") for c in "ab"), F.lit(0))
+    both = F.size(F.array_intersect("light_a", "light_b")) + F.size(F.array_intersect("heavy_a", "heavy_b"))
+    return written(met.select("a", "b", both.alias("both"), sizes.alias("sizes")).filter(f"{100 + percent} * both >= {percent} * sizes").select("a", "b"))
+
+
+def similar(n_x: str, n_y: str, at_x: str, at_y: str, percent: int, before_x: str | None = None, before_y: str | None = None) -> str:
+    """SQL: sizes fit, and the shingles before and after a common one can still make up the needed overlap.
+
+    ``before`` counts those before it that any other set has; all may be common without it.
+    """
+    most = f"least({before_x or at_x}, {before_y or at_y}) + 1 + least({n_x} - {at_x} - 1, {n_y} - {at_y} - 1)"
     return f"100 * least({n_x}, {n_y}) >= {percent} * greatest({n_x}, {n_y}) and {100 + percent} * ({most}) >= {percent} * ({n_x} + {n_y})"
 
 
-def enough(n_x: str, n_y: str, percent: int) -> Column:
+def enough(n_x: str | Column, n_y: str | Column, percent: int) -> Column:
     """Common prefix shingles that a similar pair shows at least: :func:`needed` of the smaller set."""
     return F.least(F.lit(COMMON), F.ceil(F.least(n_x, n_y) * percent / 100))
 
 
+def _undecided(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The groups ``grp`` that may be similar to one of another component, by their ``entries``.
+
+    Where a shingle has ``FEW`` entries at most, common ones are counted by
+    pair.  Other shingles are looked at by sizes that fit: with ``FEW`` entries
+    at most they are counted by pair as well, else an entry counts as common
+    with whatever group has most.
+    """
+    own = entries.select("token", "grp", "n", "at").join(parts, "grp")
+    ends = (F.count(F.lit(1)).alias("met"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    mixed = written(own.groupBy("token").agg(*ends).filter("low != high").select("token", "met"))
+    listed = own.join(mixed.filter(F.col("met") <= FEW).select("token"), "token").groupBy("token").agg(F.collect_list(F.struct("grp", "n", "at", "comp")).alias("y"))
+    pairs = listed.select(F.explode("y").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    pairs = pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("grp", "n", "at", "comp")))
+    step = float(np.log(100 / percent)) * 1.000001 if percent < 100 else 1e-6
+    own = written(own.join(mixed.filter(F.col("met") > FEW).select("token"), "token").withColumn("size", F.floor(F.log("n") / step)))
+    near = own.select("token", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "grp", "n", "at", "comp")
+    met = near.groupBy("token", "size").agg(*ends).filter("low != high").select("token", "size", "met")
+    own = own.join(met, ["token", "size"])
+    x = own.filter(F.col("met") <= FEW).select("token", "size", *(F.col(c).alias(f"x_{c}") for c in ("grp", "n", "at", "comp")))
+    y = near.select("token", "size", *(F.col(c).alias(f"y_{c}") for c in ("grp", "n", "at", "comp")))
+    pairs = pairs.unionByName(x.join(y, ["token", "size"]).drop("token", "size")).filter("x_comp != y_comp and " + similar("x_n", "y_n", "x_at", "y_at", percent))
+    counted = pairs.groupBy(F.col("x_grp").alias("grp"), "y_grp").agg(F.count(F.lit(1)).alias("c"), F.first("x_n").alias("n")).groupBy("grp").agg(F.max("c").alias("c"), F.first("n").alias("n"))
+    many = own.filter(F.col("met") > FEW).groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    both = counted.unionByName(many).groupBy("grp").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
+    return both.filter(F.col("c") >= enough("n", F.ceil(F.col("n") * percent / 100), percent)).select("grp")
+
+
+def _index(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Entries ``token, is_heavy, id, n, at, before`` of the classes of ``left`` (``id, cls, n``), by their whole ``sets``.
+
+    Shingles that one class has alone are no entries, but they count as the
+    first places; heavy ones are the last.  A prefix has one shingle more than
+    a similar set may lack.
+    """
+    rows = sets.join(left.withColumn("length", F.col("n") + F.floor(-F.col("n") * percent / 100) + 1), "cls")
+    single = rows.select("id", F.explode("light").alias("token"))
+    shared = single.select("id", "token", F.count(F.lit(1)).over(Window.partitionBy("token")).cast("int").alias("df")).filter("df > 1")
+    own = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    light = rows.select("id", "n", "length", F.size("light").alias("lights")).join(own, "id")
+    # those that are alone fill the first places
+    light = light.withColumn("alone", F.col("lights") - F.size("own")).filter("alone < length")
+    light = light.select("id", "n", "alone", F.posexplode(F.expr("slice(own, 1, cast(length - alone as int))")).alias("k", "own"))
+    light = light.select(F.col("own.token").alias("token"), F.lit(False).alias("is_heavy"), "id", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("k").alias("before"))
+    heavy = rows.filter("size(heavy) > 0 and size(light) < length").select("id", "n", "length", F.size("light").alias("lights"), F.posexplode("heavy").alias("k", "rank"))
+    heavy = heavy.withColumn("at", F.col("lights") + F.col("k")).filter("at < length").select(F.col("rank").cast("long").alias("token"), F.lit(True).alias("is_heavy"), "id", "n", "at", "k")
+    heavy = heavy.join(own.select("id", F.size("own").alias("shared")), "id", "left").select("token", "is_heavy", "id", "n", "at", (F.coalesce("shared", F.lit(0)) + F.col("k")).alias("before"))
+    return written(light.unionByName(heavy))
+
+
+def _in_several(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """``entries`` with their ``comp`` of ``comps`` (``id, comp``), of shingles in several components, with the one that has ``most``."""
+    of = ["token", "is_heavy"]
+    own = entries.join(comps, "id")
+    parts = own.groupBy(*of, "comp").agg(F.count(F.lit(1)).alias("c")).groupBy(*of).agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
+    return written(own.join(parts.filter("comps > 1").drop("comps"), of))
+
+
+def _tries(parts: DataFrame, seed: int, percent: int) -> DataFrame:
+    """For each class one class ``y`` of another component that is likely to be similar: of those that one order puts first in a shingle, the one met most."""
+    of = ["token", "is_heavy"]
+    key = F.struct(F.xxhash64("id", F.lit(seed)), "id")
+    fields = F.struct("id", "n", "at", "before", "comp")
+    inside = parts.filter("comp = most").groupBy(*of).agg(F.max_by(fields, key).alias("y"))
+    outside = parts.filter("comp != most").groupBy(*of).agg(F.max_by(fields, key).alias("y"))
+    met = parts.filter("comp != most").join(inside, of).unionByName(parts.join(outside, of)).filter("comp != y.comp and id != y.id")
+    met = met.filter(similar("n", "y.n", "at", "y.at", percent, "before", "y.before")).groupBy("id", F.col("y.id").alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    return met.groupBy("id").agg(F.max_by("y", F.struct("c", "y")).alias("y")).select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")).distinct()
+
+
+def _between(parts: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs ``x, y`` of classes in different components; a shingle's largest one is met by the others, never by itself."""
+    of = ["token", "is_heavy"]
+    x = parts.filter("comp != most").select(*of, "most", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "before", "comp")))
+    y = parts.select(*of, *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "at", "before", "comp")))
+    met = x.join(y, of).filter("x_comp != y_comp and (y_comp = most or x_id < y_id) and " + similar("x_n", "y_n", "x_at", "y_at", percent, "x_before", "y_before"))
+    return met.select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct()
+
+
+def _bridges(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``ca, cb`` between components of ``left`` (``cls, n, comp``) that join all that any link joins.
+
+    Likely pairs are tested first, one of each class, and components joined by
+    them are one for the next round; after
+    ``ROUNDS`` every pair that is left between two components is tested.
+    """
+    left = written(left.withColumn("id", F.monotonically_increasing_id()))
+    entries = _index(left.select("id", "cls", "n"), sets, percent)
+    comps, found = left.select("id", "comp"), None
+    name = lambda c, to: left.select(F.col("id").alias(c), F.col("cls").alias(to), F.col("comp").alias(f"c{to}"))
+    for k in range(ROUNDS + 1):
+        parts = _in_several(entries, comps)
+        pairs = _tries(parts, k, percent) if k < ROUNDS else _between(parts, percent)
+        pairs = written(pairs.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b", "ca", "cb"))
+        links = written(pairs.join(_links(pairs.select("a", "b"), sets, percent), ["a", "b"], "left_semi").select("ca", "cb"))
+        found = links if found is None else found.unionByName(links)
+        if k < ROUNDS and not links.isEmpty():
+            joined = components(found, "ca", "cb").select(F.col("node").alias("comp"), "component")
+            comps = written(left.select("id", "comp").join(joined, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")))
+    return found
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``; more columns are ignored).
 
@@ -299,56 +413,45 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         numbered = key.dropDuplicates(["row"])
         leads = classes.select("cls", F.col("cls").alias("row"))
     # a group's number is written with it, so later tasks that are run again read the same one
-    groups = written(full.groupBy("grp").agg(F.first("prefix").alias("prefix"), F.first("n_shingles").alias("n")).withColumn("gid", F.monotonically_increasing_id()))
+    groups = written(full.groupBy("grp").agg(F.first("prefix").alias("prefix"), F.first("light").alias("light"), F.first("n_shingles").alias("n")).withColumn("gid", F.monotonically_increasing_id()))
     classes = written(classes.join(groups.select("grp", "gid"), "grp").select("cls", F.col("gid").alias("grp"), "n", "lead"))
     forget(sets)
     sets = slim
     full = sets.filter("n_shingles > 0")
-    per_token = Window.partitionBy("token")
-    order = per_token.orderBy("n", "grp")
     slices = []
     for k in range(SLICES):
         # shingle by shingle range, so the shuffle of one slice ends before the next
-        some = groups.select(F.col("gid").alias("grp"), "n", F.posexplode("prefix").alias("at", "token")).filter(F.pmod(F.xxhash64("token"), F.lit(SLICES)) == k)
-        some = some.select(
-            "token", "grp", "n", "at", F.lag("grp").over(order).alias("near"), F.lag("n").over(order).alias("near_n"), F.lag("at").over(order).alias("near_at"), F.lead("grp").over(order).isNotNull().alias("more")
-        )
-        slices.append(written(some.filter("near is not null or more").drop("more")))
+        some = groups.select(F.col("gid").alias("grp"), "n", "light", F.posexplode("prefix").alias("at", "token")).filter(F.pmod(F.xxhash64("token"), F.lit(SLICES)) == k)
+        some = some.withColumn("part", F.when(F.col("at") >= F.col("light"), F.pmod("grp", F.lit(PARTS))))
+        some = some.select("token", "grp", "n", "at", "part", F.count(F.lit(1)).over(Window.partitionBy("token", "part")).alias("df"))
+        # a heavy shingle is taken to be in several groups
+        slices.append(written(some.filter("df > 1 or part is not null").drop("part")))
     entries = reduce(DataFrame.unionByName, slices)
     forget(groups)
-    # round one: the neighbour with most common entries, and the first class of the own group
+    # round one: the hub with most common entries, and the first class of the own group
     first = classes.groupBy("grp").agg(F.min("cls").alias("top"))
-    near = entries.filter("near is not null and " + similar("n", "near_n", "at", "near_at", percent)).groupBy("grp", "near").agg(F.count(F.lit(1)).alias("c"), F.first(enough("n", "near_n", percent)).alias("least")).filter("c >= least")
-    near = near.groupBy("grp").agg(F.max_by("near", "c").alias("near"))
+    scores = entries.groupBy("grp").agg(F.sum(F.col("df") - 1).alias("score"))
+    hubs = entries.join(scores, "grp").groupBy("token").agg(F.max_by(F.struct("grp", "n", "at", "score"), F.struct("score", "grp")).alias("hub"))
+    near = entries.join(hubs, "token").select("grp", "n", "at", F.col("hub.grp").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"), "hub.score")
+    near = near.filter("grp != hub and " + similar("n", "hub_n", "at", "hub_at", percent))
+    near = near.groupBy("grp", "hub").agg(F.count(F.lit(1)).alias("c"), F.first(enough("n", "hub_n", percent)).alias("least"), F.first("score").alias("score")).filter("c >= least")
+    near = near.groupBy("grp").agg(F.max_by("hub", F.struct("c", "score", "hub")).alias("near"))
     tops = first.join(near, "grp").select(F.col("top").alias("a"), F.col("near").alias("grp")).join(first, "grp").select("a", F.col("top").alias("b"))
     inner = classes.join(first, "grp").filter("cls != top").select(F.col("cls").alias("a"), F.col("top").alias("b"))
-    tested = tops.unionByName(inner)
-    links = _links(tested, leads, numbered, words, percent)
-    rough = components(links)
+    tested = written(tops.unionByName(inner))
+    asked = _shingle_sets(tested.select(F.explode(F.array("a", "b")).alias("cls")), leads, numbered, words, heavy)
+    rough = components(_links(tested, asked, percent))
+    forget(asked)
     labelled = classes.join(rough.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", "n", F.coalesce("component", "cls").alias("comp"))
     labelled = written(labelled)
     # round two: what is left between components
     parts = labelled.select("grp", "comp").distinct()
-    open_ = entries.drop("near", "near_n", "near_at").join(parts, "grp")
-    mixed = open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("token")
-    open_ = written(open_.join(mixed, "token"))
-    x = open_.select("token", *(F.col(c).alias(f"x_{c}") for c in ("grp", "n", "at", "comp")))
-    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("grp", "n", "at", "comp")))
-    met = x.join(y, "token").filter("x_comp < y_comp and " + similar("x_n", "y_n", "x_at", "y_at", percent))
-    keys = ["x_grp", "x_comp", "y_grp", "y_comp"]
-    met = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.first(enough("x_n", "y_n", percent)).alias("least")).filter("c >= least").select(*keys)
-    # members of one group share its whole prefix, whether or not another group has a part of it
-    x = parts.select("grp", F.col("grp").alias("x_grp"), F.col("comp").alias("x_comp"))
-    y = parts.select("grp", F.col("grp").alias("y_grp"), F.col("comp").alias("y_comp"))
-    met = met.unionByName(x.join(y, "grp").filter("x_comp < y_comp").drop("grp")).distinct()
-    left = labelled.select(F.col("grp").alias("x_grp"), F.col("comp").alias("x_comp"), F.col("cls").alias("a"))
-    right = labelled.select(F.col("grp").alias("y_grp"), F.col("comp").alias("y_comp"), F.col("cls").alias("b"))
-    rest = met.join(left, ["x_grp", "x_comp"]).join(right, ["y_grp", "y_comp"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(done, ["a", "b"], "left_anti")
-    more = _links(rest, leads, numbered, words, percent)
-    comp = labelled.select("cls", "comp")
-    bridges = more.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
+    several = parts.groupBy("grp").count().filter("count > 1").select("grp")
+    some = _undecided(entries, parts, percent)
+    left = written(labelled.join(some.unionByName(several).distinct(), "grp").select("cls", "n", "comp"))
+    asked = _shingle_sets(left.select("cls"), leads, numbered, words, heavy)
+    bridges = _bridges(left, asked, percent)
+    forget(asked)
     merged = components(bridges, "ca", "cb").select(F.col("node").alias("comp"), "component")
     final = labelled.join(merged, "comp", "left").select("cls", F.coalesce("component", "comp").alias("comp"))
     final = final.join(classes.select("cls", "lead"), "cls")

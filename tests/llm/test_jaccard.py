@@ -40,3 +40,22 @@ def test_against_all_pairs(spark, words, percent):
         rows.append((10 + k, " ".join(own)))
     docs = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, cls string")
     assert sorted(map(tuple, jaccard_components(docs, words, percent).collect())) == brute(rows, words, percent)
+
+
+def test_copies_that_are_alike_but_not_enough(spark):
+    """Many edited copies of one text of which few link, one line in all texts, and ids that repeat or are null."""
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(250):
+        own = list(base)
+        for _ in range(r.choice((0, 1, 1, 2, 3))):
+            own[r.randrange(60)] = f"e{r.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    line = "this very line stands in all of the texts"
+    rows += [(1000 + k, f"{line} " + " ".join(f"u{r.randrange(10**6)}" for _ in range(r.randint(3, 30)))) for k in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs, 3, 90).collect())) == brute(rows, 3, 90)
+    odd = [(1, rows[0][1]), (1, "other words stand here"), (None, rows[0][1]), (None, "alone and without an id"), (2, "other words stand here"), (1, rows[0][1])]
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(odd, "doc_id long, text string"), 3, 90).select("doc_id", "component_id").collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (None, 1), (None, None), (2, 1), (1, 1)], key=str)
