@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,11 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Name the function that empties what an operator keeps in a Python worker between its tasks."""
+    _caches[owner] = clear
+
+
+def takes_over(owner: str) -> None:
+    """Called by a task in its worker: what other operators left there goes, as workers outlive stages."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share."""
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not top:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = LOCAL_CHECKPOINTS
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(top)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import forget, written
+from quillspark.llm.common import forget, takes_over, written
 from quillspark.llm.graph import components
 
 #: A shingle is heavy where it is in this share of some batch of documents.
@@ -163,6 +163,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _heavy(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("jaccard")
         held: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
@@ -206,6 +207,7 @@ SETS = "doc_id long, n_shingles long, cls binary, grp binary, prefix array<long>
 
 def _sets(words: int, percent: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("jaccard")
         frequent = heavy.value
         place = np.argsort(frequent)
         by_hash = frequent[place]
@@ -243,6 +245,7 @@ def _arrays(words: int, heavy):
     """Whole shingle sets of texts: those that are not heavy by hash, and the ranks of those that are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("jaccard")
         place = np.argsort(heavy.value)
         by_hash = heavy.value[place]
         for batch in batches:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import takes_over
+
 #: Training rows for each language.
 ROWS = 500
 
@@ -192,6 +194,7 @@ def has_letter(text: bytes) -> bool:
 
 
 def _predict(model, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    takes_over("langid")
     trees: Model | None = model.value
     for batch in batches:
         texts = [t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import keeps, takes_over, written
 
 #: The kinds, in the order in which spans of one start stand.
 KINDS = ("email", "ip", "card", "phone")
@@ -142,6 +142,7 @@ EDGE = word_key("edge of text")
 KIND_KEYS = [word_key(f"kind {kind}") for kind in KINDS]
 
 _memo: dict[str, int] = {}
+keeps("pii", _memo.clear)
 
 
 def _keys(words: list[str]) -> list[int]:
@@ -270,6 +271,7 @@ EDGES = "instance long, seed boolean, pattern long"
 
 
 def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    takes_over("pii")
     for batch in batches:
         texts = (t for v in batch.column(0) if (t := v.as_py()) and _IDENTIFIER.search(t))
         for keys, marks in _joined_texts(texts):
@@ -286,6 +288,7 @@ def _ordinary_rows(held):
     """Rows (pattern, filler) of the ordinary words in the contexts held; (pattern, null) where they are too many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("pii")
         patterns, limit = held.value
         bits = (1 << 22) - 1
         likely = np.zeros(bits + 1, bool)

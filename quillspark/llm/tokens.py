@@ -14,6 +14,8 @@ from array import array
 
 import numpy as np
 
+from quillspark.llm.common import keeps, takes_over
+
 #: The pre-token pattern of the vocabulary file.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -30,6 +32,7 @@ MEMO_WORDS, MEMO_CHUNKS = 600_000, 700_000
 MEMO_CHARS = 40
 
 _loaded: dict[str, TextEncoder] = {}
+keeps("tokens", _loaded.clear)
 
 
 def _byte_characters() -> dict[int, str]:
@@ -101,6 +104,7 @@ class TextEncoder:
 
 def encoder(path: str) -> TextEncoder:
     """The worker's encoder for a vocabulary file, loaded once."""
+    takes_over("tokens")
     if path not in _loaded:
         _loaded[path] = TextEncoder(path)
     return _loaded[path]
