@@ -88,6 +88,7 @@ def validate(spark: SparkSession, folder: str, expected: dict[str, int]) -> list
 
 def synthetic_star(spark: SparkSession, rows: int, edge: bool = False) -> dict[str, DataFrame]:
     """A fact with three keys and its dimensions by fixed formulas; ``edge`` adds null and repeated keys."""
+    # The formulas of the fixture, whose expected counts (720 and 60) hold for them alone
     time_key = "if(pmod(id, 97) = 0, null, cast(pmod(id, 1440) as int))" if edge else "cast(pmod(id, 1440) as int)"
     fact = spark.range(rows).selectExpr(f"{time_key} as time_sk", "cast(pmod(id div 1440, 1000) as int) as demo_sk", "cast(pmod(id div 14400, 100) as int) as store_sk")
     times = spark.range(1440).selectExpr("cast(id as int) as t_time_sk", "cast(id div 60 as int) as t_hour", "cast(pmod(id, 60) as int) as t_minute")
