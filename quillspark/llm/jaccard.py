@@ -305,11 +305,15 @@ def _undecided(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("grp", "n", "at", "comp")))
     step = float(np.log(100 / percent)) * 1.000001 if percent < 100 else 1e-6
     own = written(own.join(mixed.filter(F.col("met") > FEW).select("token"), "token").withColumn("size", F.floor(F.log("n") / step)))
-    near = own.select("token", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "grp", "n", "at", "comp")
-    met = near.groupBy("token", "size").agg(*ends).filter("low != high").select("token", "size", "met")
-    own = own.join(met, ["token", "size"])
-    x = own.filter(F.col("met") <= FEW).select("token", "size", *(F.col(c).alias(f"x_{c}") for c in ("grp", "n", "at", "comp")))
-    y = near.select("token", "size", *(F.col(c).alias(f"y_{c}") for c in ("grp", "n", "at", "comp")))
+    sides = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))
+    cells = own.groupBy("token", "size").agg(*ends).select("token", sides.alias("size"), "met", "low", "high")
+    met = cells.groupBy("token", "size").agg(F.sum("met").alias("met"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
+    every, own = own, own.join(met.select("token", "size", "met"), ["token", "size"])
+    x = own.filter(F.col("met") <= FEW)
+    # only the few entries beside those are dealt to them
+    beside = x.select("token", F.col("size").alias("of")).distinct().select("token", "of", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1)).alias("size"))
+    y = every.join(beside, ["token", "size"]).select("token", F.col("of").alias("size"), *(F.col(c).alias(f"y_{c}") for c in ("grp", "n", "at", "comp")))
+    x = x.select("token", "size", *(F.col(c).alias(f"x_{c}") for c in ("grp", "n", "at", "comp")))
     pairs = pairs.unionByName(x.join(y, ["token", "size"]).drop("token", "size")).filter("x_comp != y_comp and " + similar("x_n", "y_n", "x_at", "y_at", percent))
     counted = pairs.groupBy(F.col("x_grp").alias("grp"), "y_grp").agg(F.count(F.lit(1)).alias("c"), F.first("x_n").alias("n")).groupBy("grp").agg(F.max("c").alias("c"), F.first("n").alias("n"))
     many = own.filter(F.col("met") > FEW).groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
