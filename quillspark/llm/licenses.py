@@ -12,6 +12,7 @@ gives, so the index is as small as they are and is all that is broadcast.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -138,25 +139,28 @@ class Index:
             return []
         slot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         hit = self.hashes[slot] == hashes
-        diagonals: dict[int, set[int]] = defaultdict(set)
+        diagonals: dict[int, dict[int, int]] = defaultdict(dict)  # template -> diagonal -> place of its last hit
         for h, p in zip(hashes[hit].tolist(), at[hit].tolist(), strict=True):
             for t, q in self.places[h]:
-                diagonals[t].add(p - q)
+                diagonals[t][p - q] = p
         found = []
-        for t, some in diagonals.items():
-            size = len(self.words[t])
-            past = tried = -1 << 60
-            for d in sorted(some):
-                # near a place that failed, or within a match, a diagonal is covered already
-                if d - tried <= BAND // 2 or d < past - BAND // 2:
-                    continue
-                low = max(0, past, d - BAND)
-                matched, s, e = align(self.words[t], words[low : d + size + BAND], d - low)
+        for t, hits in diagonals.items():
+            size, past = len(self.words[t]), 0
+            todo = sorted(hits)
+            while todo:
+                # diagonals side by side share one alignment, whose band holds the band of each
+                first = todo[0]
+                side = bisect_right(todo, first + BAND)
+                last = todo[side - 1]
+                low = max(0, past, first - BAND)
+                matched, s, e = align(self.words[t], words[low : last + size + BAND], (first + last) // 2 - low, BAND + (last - first + 1) // 2)
                 if matched >= coverage * size:
                     past = low + e
                     found.append((-matched / size, -matched, spans[low + s][0], spans[past - 1][1], t))
+                    # a hit beyond the match may be of another one
+                    todo = [d for d in todo if hits[d] >= past]
                 else:
-                    tried = d
+                    todo = todo[side:]
         out: list[tuple] = []
         taken: list[tuple[int, int]] = []
         for share, matched, s, e, t in sorted(found):

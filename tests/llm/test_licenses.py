@@ -50,3 +50,16 @@ def test_repeats_and_empty(spark):
     assert [(r.license, r.coverage) for r in scan_licenses(docs).collect()] == [("MIT", 1.0)] * 4
     assert scan_licenses(docs.limit(0)).count() == 0
     assert Index({}).scan(text, 0.8, {}) == []
+
+
+def test_copies_side_by_side():
+    """A notice right after one that lacks words, and one that drifts after a failed place."""
+    text = TEMPLATES["MIT"][0]
+    own = text.split()
+    long = next(t for texts in TEMPLATES.values() for t in texts if len(t.split()) >= 25).split()
+    index = Index({"x": [" ".join(long)]})
+    found = index.scan(" ".join(long[5:] + long), COVERAGE, {})
+    assert len(found) == 2 and found[1][2] == 1.0
+    failed = filler(3).split() + long[: len(long) // 3] + filler(6).split()
+    assert [f[2] for f in index.scan(" ".join(failed + long), COVERAGE, {})] == [1.0]
+    assert len(Index({"y": [text]}).scan(" ".join(own * 3), COVERAGE, {})) == 3
