@@ -14,7 +14,7 @@ from quillspark.llm.langid import identify
 from quillspark.llm.packing import Bins, pack
 from quillspark.llm.pii import base_spans, detect, learn, redact
 from quillspark.llm.simple8b import decode, encode, token_output
-from quillspark.llm.vafile import search
+from quillspark.llm.vafile import CELLS, nearest, search
 
 TEXTS = [None, "", " ", "one", "Straße 東京 😀  x\n\n", "a b  c\td", "word " * 5000, "same text here", "same text here", "it's 12,345.67 o'clock\r\n"]
 
@@ -49,6 +49,45 @@ def test_search_against_all_vectors(spark):
     assert got == sorted(want)
 
 
+def test_search_with_large_components(spark):
+    """Components beyond what floating point multiplies exactly, and scores beyond a long."""
+    r = random.Random(5)
+    sizes = (1.0, 1e3, 1e5, 1e9, 1e18, 1e300)
+    rows = [(i, [r.gauss(0, 1) * r.choice(sizes[: 1 + i % 6]) for _ in range(8)]) for i in range(300)]
+    rows += [(400, rows[0][1]), (401, rows[0][1]), (100, [1e9] * 8), (402, [1.7e308] * 8), (403, [-1.7e308] * 8), (500, [1e9] * 3)]
+    df = spark.createDataFrame([(v, i, 0) for i, v in rows], "embedding array<double>, vec_id long, score int")
+    got = sorted(tuple(x) for x in search(df, df.filter("vec_id % 50 = 0"), 10, block=3).collect())
+    whole = [(i, [1024 * int(x) if abs(x) >= 2.0**52 else math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = []
+    for q in {i for i, _ in whole if i % 50 == 0}:
+        scored = []
+        for own in (v for i, v in whole if i == q):
+            scored += [(-sum(a * b for a, b in zip(own, w)), i) for i, w in whole if i != q and len(w) == len(own)]
+        want += [(q, k + 1, i, max(-(2**63 - 1), min(2**63 - 1, -s))) for k, (s, i) in enumerate(sorted(scored)[:10])]
+    assert got == sorted(want)
+    assert search(df.limit(0), df.limit(0), 10).count() == 0
+
+
+def test_search_reads_few_exact_vectors():
+    r = np.random.default_rng(2)
+    exact = np.floor(1024 * r.normal(size=(4000, 16))).astype(np.int64)
+    exact[:400] += 4000
+    low = exact.min(0)
+    width = -(-(exact.max(0) - low + 1) // CELLS)
+    seen = set()
+
+    def read(some):
+        seen.update(some.tolist())
+        return exact[some]
+
+    for q, best in nearest(np.arange(4000), ((exact - low) // width).astype(np.uint8), low, width, read, np.arange(5), exact[:5], 10):
+        seen_now, plain = len(seen), exact @ exact[q]
+        plain[q] = -(2**62)
+        assert [i for _, i in best] == np.lexsort((np.arange(4000), -plain))[:10].tolist()
+        assert seen_now < 800
+        seen.clear()
+
+
 def test_packing(docs):
     rows = pack(docs, 2048, end_id=1).collect()
     whole = {i: ids_of(t, 1) for i, t in enumerate(TEXTS)}
