@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -12,54 +13,66 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 CODECS = ("snappy", "uncompressed", "zstd")
 
-_CREATE = re.compile(r"create\s+table\s+(\w+)\s*\((.*?)\)\s*;", re.IGNORECASE | re.DOTALL)
+#: The column types that table definitions may have; char and varchar are strings.
+KINDS = (T.IntegerType, T.DateType, T.DecimalType, T.CharType, T.VarcharType, T.StringType)
 
 
-def register(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> None:
-    """Makes each table of ``folder`` a temporary view of its name."""
-    for name in names:
-        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+def _listed(spark: SparkSession, folder: str) -> list:
+    """The status of every file and folder in ``folder``, by any file system that Spark reads."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return list(top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top))
 
 
-def _parts(body: str) -> list[str]:
-    """The pieces of ``body`` between commas outside parentheses."""
-    out, depth, last = [], 0, 0
-    for at, c in enumerate(body):
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append(body[last:at])
-            last = at + 1
-    return [p.strip() for p in [*out, body[last:]] if p.strip()]
+def tables(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name and path of each table of a folder: its sub-folders, and single Parquet files."""
+    out = {}
+    for f in _listed(spark, folder):
+        name = f.getPath().getName()
+        if not name.startswith(("_", ".")) and (f.isDirectory() or name.endswith(".parquet")):
+            out[name.removesuffix(".parquet")] = f.getPath().toString()
+    return dict(sorted(out.items()))
 
 
-def _kind(sql: str) -> T.DataType:
-    sql = sql.lower()
-    if m := re.match(r"decimal\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)", sql):
-        return T.DecimalType(int(m[1]), int(m[2]))
-    word = re.match(r"\w+", sql)
-    kinds = {"integer": T.IntegerType(), "date": T.DateType(), "time": T.StringType(), "char": T.StringType(), "varchar": T.StringType()}
-    if not word or word[0] not in kinds:
-        raise ValueError(f"unsupported column type {sql!r}")
-    return kinds[word[0]]
+def register(spark: SparkSession, folder: str, names: tuple[str, ...] | None = None) -> list[str]:
+    """Makes each table of ``folder``, or those of ``names``, a temporary view of its name."""
+    found = tables(spark, folder)
+    if missing := set(names or ()) - set(found):
+        raise FileNotFoundError(f"no table {', '.join(sorted(missing))} in {folder}")
+    for name in names or found:
+        spark.read.parquet(found[name]).createOrReplaceTempView(name)
+    return list(names or found)
 
 
 def parse_schemas(ddl: str) -> dict[str, T.StructType]:
-    """The schema of each CREATE TABLE of ``ddl``; every field may be null, keys are skipped."""
-    ddl = re.sub(r"--[^\n]*", "", ddl)
+    """The schema of each CREATE TABLE of ``ddl``, its columns read by Spark's own parser.
+
+    Every field may be null, whatever the definition says; primary keys are
+    skipped; a time is kept as its text.  Needs a running session.
+    """
     out = {}
-    for name, body in _CREATE.findall(ddl):
-        fields = [p.split(None, 1) for p in _parts(body) if not re.match(r"primary\s+key", p, re.IGNORECASE)]
-        out[name.lower()] = T.StructType([T.StructField(c.lower(), _kind(rest), True) for c, rest in fields])
+    for statement in re.sub(r"--.*", "", ddl).split(";"):
+        head, _, body = statement.partition("(")
+        words = head.lower().split()
+        if words[:2] != ["create", "table"] or len(words) != 3:
+            continue
+        body = body.rstrip().removesuffix(")")
+        body = re.sub(r",?\s*primary\s+key\s*\([^)]*\)", "", body, flags=re.IGNORECASE)
+        body = re.sub(r"(\w\s+)time\b", r"\1string", body, flags=re.IGNORECASE)
+        try:
+            declared = T.StructType.fromDDL(body)
+        except ParseException as e:
+            raise ValueError(f"table {words[2]}: {e}") from e
+        if wrong := [f.name for f in declared if not isinstance(f.dataType, KINDS)]:
+            raise ValueError(f"unsupported column type of {', '.join(wrong)} in table {words[2]}")
+        text = (T.CharType, T.VarcharType)
+        out[words[2]] = T.StructType([T.StructField(f.name.lower(), T.StringType() if isinstance(f.dataType, text) else f.dataType) for f in declared])
     return out
 
 
 def table_sources(spark: SparkSession, folder: str, table: str) -> list[str]:
     """The files of a table, ``t.dat`` or chunks ``t_1_8.dat``, without those of tables it prefixes."""
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(folder)
-    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)
     match = re.compile(rf"{re.escape(table)}(_\d+_\d+)?\.dat").fullmatch
-    return sorted(f.getPath().toString() for f in found if match(f.getPath().getName()))
+    return sorted(f.getPath().toString() for f in _listed(spark, folder) if match(f.getPath().getName()))
 
 
 def ingest(spark: SparkSession, files: list[str], schema: T.StructType) -> DataFrame:
@@ -77,15 +90,37 @@ def write_parquet(df: DataFrame, path: str, codec: str = "snappy") -> None:
 
 
 def validate(spark: SparkSession, folder: str, expected: dict[str, int]) -> list[dict]:
-    """Rows and schema of each table against the expected number of rows."""
-    out = []
+    """Rows and schema of each table against the expected number of rows; a folder must hold its writer's ``_SUCCESS``."""
+    out, found = [], tables(spark, folder)
     for name, rows in expected.items():
-        df = spark.read.parquet(f"{folder}/{name}.parquet")
+        if name not in found:
+            out.append({"table": name, "rows": None, "expected": rows, "ok": False, "reason": "no such table", "schema": None})
+            continue
+        whole = found[name].endswith(".parquet") and _listed(spark, found[name])[0].getPath().toString() == found[name]
+        whole = whole or any(f.getPath().getName() == "_SUCCESS" for f in _listed(spark, found[name]))
+        df = spark.read.parquet(found[name])
         n = df.count()
-        out.append({"table": name, "rows": n, "expected": rows, "ok": n == rows, "schema": df.schema.simpleString()})
+        reason = "" if whole and n == rows else "no _SUCCESS" if not whole else "other number of rows"
+        out.append({"table": name, "rows": n, "expected": rows, "ok": not reason, "reason": reason, "schema": df.schema.simpleString()})
     return out
 
 
+#: The values of :func:`synthetic_values` repeat after this many rows.
+CYCLE = 1009
+
+
+def synthetic_values(spark: SparkSession, rows: int) -> DataFrame:
+    """``value``: every whole number under ``CYCLE`` once in each ``CYCLE`` rows, out of order."""
+    return spark.range(rows).selectExpr(f"cast(pmod(id * 31, {CYCLE}) as int) as value")
+
+
+def synthetic_sum(rows: int, threshold: int, multiplier: int, addend: int) -> int:
+    """What the fused sum of :func:`synthetic_values` is, by whole cycles and the rest."""
+    one = lambda v: v * multiplier + addend if v > threshold else 0
+    cycles, rest = divmod(rows, CYCLE)
+    return cycles * sum(map(one, range(CYCLE))) + sum(one(k * 31 % CYCLE) for k in range(rest))
+
+
 def synthetic_star(spark: SparkSession, rows: int, edge: bool = False) -> dict[str, DataFrame]:
     """A fact with three keys and its dimensions by fixed formulas; ``edge`` adds null and repeated keys."""
     # The formulas of the fixture, whose expected counts (720 and 60) hold for them alone
