@@ -315,9 +315,36 @@ def group_space_decode(spark, folder):
     return decode(encode(dims).select("group_id"), dims)
 
 
-@query()
+#: What each statement is to be classified as: shape, reason of refusal, joins, regions.
+_SHAPES = {
+    "fused_sum_plain": ("fused_sum", "", 0, 1),
+    "fused_sum_nullable": ("fused_sum", "", 0, 1),
+    "membership_count3": ("membership_scan", "", 3, 1),
+    "membership_null_key": ("", "filter beyond IsNotNull", 0, 0),
+    "membership_ratio": ("", "distinct or filtered aggregate", 0, 0),
+    "star_group_sum_count_avg": ("grouped_aggregate", "", 2, 1),
+    "star_group_decimal": ("", "computed projection", 0, 0),
+    "star_group_fanout": ("grouped_aggregate", "", 1, 1),
+    "star_global_sum": ("global_aggregate", "", 2, 1),
+    "star_group_distinct": ("", "distinct or filtered aggregate", 0, 0),
+    "star_group_minmax": ("", "unsupported function min", 0, 0),
+    "star_rollup": ("", "Expand below the aggregate", 0, 0),
+    "star_cube": ("", "Expand below the aggregate", 0, 0),
+    "star_grouping_sets": ("", "Expand below the aggregate", 0, 0),
+    "star_join_project": ("", "fact output is not INT32-backed but bigint", 0, 0),
+    "star_join_left": ("", "non-inner join", 0, 0),
+    "star_join_theta": ("", "residual join condition", 0, 0),
+    "window_over_group": ("grouped_aggregate", "", 2, 1),
+    "topk_over_group": ("grouped_aggregate", "", 2, 1),
+    "union_regions": ("", "2 regions, more than 1", 0, 2),
+    "ingest_roundtrip": ("", "no join at the top but Scan", 0, 0),
+}
+_EXPECTED = ", ".join(f"('{k}', '{s}', {str(bool(s)).lower()}, '{r}', {j}, {n})" for k, (s, r, j, n) in _SHAPES.items())
+
+
+@query(f"SELECT * FROM (VALUES {_EXPECTED}) AS t(name, shape, eligible, reason, joins, regions)")
 def plan_shapes(spark, folder):
-    return shapes(spark, folder, {k: ORACLE_SQL[k] for k in ("membership_count3", "star_group_sum_count_avg", "star_join_project", "star_group_distinct", "star_rollup", "star_join_theta", "fused_sum_plain")})
+    return shapes(spark, folder, {k: ORACLE_SQL[k] for k in _SHAPES})
 
 
 @query()

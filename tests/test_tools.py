@@ -55,6 +55,58 @@ def test_shapes(spark):
     assert got["broken"].reason.startswith("unreadable query")
 
 
+def test_limits_of_shapes(spark):
+    star = "FROM lineitem JOIN part ON l_partkey = p_partkey"
+    one = f"SELECT p_brand, sum(l_linenumber) s {star} GROUP BY p_brand"
+    asked = {
+        "two": f"{one} UNION ALL {one.replace('p_brand', 'p_type')}",
+        "not null": f"SELECT p_brand, count(*) {star} WHERE l_tax IS NOT NULL GROUP BY p_brand",
+        "double": f"SELECT p_brand, sum(l_tax) {star} GROUP BY p_brand",
+        "dimension": f"SELECT p_brand, sum(p_size) {star} GROUP BY p_brand",
+        "computed": f"SELECT p_brand, sum(l_linenumber + 1) {star} GROUP BY p_brand",
+        "attribute": f"SELECT l_linenumber, p_retailprice {star}",
+        "one key": f"SELECT count(*) {star}",
+        "join": f"SELECT l_linenumber, p_brand {star}",
+        "wide": f"SELECT l_orderkey, p_brand {star}",
+        "fused": "SELECT sum(CASE WHEN l_linenumber > 3 THEN l_linenumber * 3 + 7 ELSE 0 END) FROM lineitem",
+        "not fused": "SELECT sum(CASE WHEN l_linenumber > 3 THEN l_linenumber * 3 + 7 ELSE 1 END) FROM lineitem",
+    }
+    got = {r.name: (r.shape, r.reason) for r in shapes(spark, FOLDER, asked).collect()}
+    assert got["two"] == ("", "2 regions, more than 1")
+    assert shapes(spark, FOLDER, {"two": asked["two"]}, 0).first().shape == "grouped_aggregate"
+    assert got["not null"][1] == "IsNotNull on l_tax, which is no join key"
+    assert got["double"][1] == "measure is not INT32 but double"
+    assert got["dimension"][1] == "measure on the dimension side"
+    assert got["computed"][1] in ("measure is not a bare column", "computed projection")
+    assert got["attribute"][1] == "unsupported attribute type double"
+    assert got["one key"][1].startswith("count without group keys")
+    assert got["join"][0] == "star_join" and got["wide"][1].startswith("fact output")
+    assert got["fused"][0] == "fused_sum" and got["not fused"][1] == "no join"
+
+
+def test_tools_of_the_command_line(spark, tmp_path):
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql" / "q2.sql").write_text("SELECT count(*) AS n FROM nation;\n")
+    (tmp_path / "sql" / "q10.sql").write_text("SELECT p_brand, sum(l_linenumber) AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
+    for leg in ("a", "b"):
+        done = harness.run_files(spark, FOLDER, str(tmp_path / "sql"), str(tmp_path / leg), runs=1, warm_ups=0, label=leg)
+        assert list(done["queries"]) == ["q2", "q10"] and done["environment"]["spark"] == spark.version
+        assert (tmp_path / leg / "q10-plan.txt").read_text()
+    both = harness.compare_files(str(tmp_path / "a" / "summary.json"), str(tmp_path / "b" / "summary.json"), 0.0)
+    assert both["match"] and both["gate"] and both["other"] == "b"
+    parts = harness.phases(spark, (tmp_path / "sql" / "q10.sql").read_text())
+    assert all(parts[k] > 0 for k in ("planning_cold", "planning_warm", "split_enumeration", "dimension_collect", "scan", "end_to_end"))
+    harness.generate(spark, "sum", str(tmp_path / "sum"), 5000)
+    assert harness.benchmark(spark, "sum", str(tmp_path / "sum"), 0, 1)["result"] > 0
+    harness.generate(spark, "star-edge", str(tmp_path / "star"), 1_000_003)
+    assert harness.benchmark(spark, "star-edge", str(tmp_path / "star"), 0, 1, 60)["result"] == 60
+    with pytest.raises(RuntimeError):
+        harness.benchmark(spark, "star-edge", str(tmp_path / "star"), 0, 1, 61)
+    assert validate(spark, str(tmp_path / "star"), {"stores": 101, "none": 1})[0]["ok"]
+    (tmp_path / "star" / "stores" / "_SUCCESS").unlink()
+    assert [r["reason"] for r in validate(spark, str(tmp_path / "star"), {"stores": 101, "none": 1, "demos": 9})] == ["no _SUCCESS", "no such table", "other number of rows"]
+
+
 def test_ingestion(spark, tmp_path):
     schemas = parse_schemas("create table t (a integer not null, b decimal(7,2), c char(3), d date, primary key (a));\ncreate table t_more (a integer);")
     assert schemas["t"].simpleString() == "struct<a:int,b:decimal(7,2),c:string,d:date>"
