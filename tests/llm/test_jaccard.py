@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from quillspark.llm import jaccard
 from quillspark.llm.jaccard import jaccard_components
 
 
@@ -59,3 +61,26 @@ def test_copies_that_are_alike_but_not_enough(spark):
     odd = [(1, rows[0][1]), (1, "other words stand here"), (None, rows[0][1]), (None, "alone and without an id"), (2, "other words stand here"), (1, rows[0][1])]
     got = sorted(map(tuple, jaccard_components(spark.createDataFrame(odd, "doc_id long, text string"), 3, 90).select("doc_id", "component_id").collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (None, 1), (None, None), (2, 1), (1, 1)], key=str)
+
+
+def test_few_pairs_of_copies_that_do_not_link(spark, monkeypatch):
+    """Copies of one text, each edited at another place, none of which link: bitmaps keep most pairs from being tested."""
+    rows = []
+    for k in range(32):
+        own = [f"w{j}" for j in range(100)]
+        own[3 * k + 2] = f"e{k}"
+        rows.append((k, " ".join(own)))
+    tested, links = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda pairs, sets, percent: (tested.append(pairs.count()), links(pairs, sets, percent))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs, 3, 90).collect())) == brute(rows, 3, 90)
+    assert sum(tested) < 250, tested
+
+
+def test_bitmaps_bound_the_difference():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        x = np.unique(r.integers(0, 2**63, r.integers(1, 900)).astype(np.uint64))
+        y = np.unique(np.concatenate([x[r.integers(0, 300) :], r.integers(0, 2**63, r.integers(0, 50)).astype(np.uint64)]))
+        bits = int(np.bitwise_count(jaccard.bitmap(x).view(np.uint64) ^ jaccard.bitmap(y).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(x, y)) and (bits == 0) == (len(np.setxor1d(x, y)) == 0)
