@@ -84,3 +84,45 @@ def test_bitmaps_bound_the_difference():
         y = np.unique(np.concatenate([x[r.integers(0, 300) :], r.integers(0, 2**63, r.integers(0, 50)).astype(np.uint64)]))
         bits = int(np.bitwise_count(jaccard.bitmap(x).view(np.uint64) ^ jaccard.bitmap(y).view(np.uint64)).sum())
         assert bits <= len(np.setxor1d(x, y)) and (bits == 0) == (len(np.setxor1d(x, y)) == 0)
+
+
+def test_whole_sets_are_not_dealt_to_be_indexed(spark, monkeypatch):
+    """Sets of shingles are read where they lie: no join of the second index has them on a side."""
+    rows = []
+    for k in range(32):
+        own = [f"w{j}" for j in range(100)]
+        own[3 * k + 2] = f"e{k}"
+        rows.append((k, " ".join(own)))
+    sides, written = [], jaccard.written
+
+    def joined(node):
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        for x in below:
+            if node.nodeName() == "Join":
+                sides.append({x.output().apply(k).name() for k in range(x.output().size())})
+            joined(x)
+
+    def seen(df):
+        if "before" in df.columns and "comp" not in df.columns:
+            joined(df._jdf.queryExecution().optimizedPlan())
+        return written(df)
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs, 3, 90).collect())) == brute(rows, 3, 90)
+    assert sides and not any({"light", "heavy"} & x for x in sides), sides
+
+
+def test_tokens_that_are_alike_lose_no_link(spark, monkeypatch):
+    """Shingles whose packed hashes and numbers of texts are the same make entries meet, and the links stay."""
+    monkeypatch.setattr(jaccard, "TOKEN_BITS", 3)
+    monkeypatch.setattr(jaccard, "MANY", 2)
+    r = random.Random(9)
+    rows = []
+    for k in range(120):
+        own = [f"w{j}" for j in range(60)]
+        for _ in range(r.choice((1, 1, 2, 3))):
+            own[r.randrange(60)] = f"e{r.randrange(40)}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs, 3, 90).collect())) == brute(rows, 3, 90)
