@@ -58,8 +58,8 @@ REACH = 3
 #: Least characters of a candidate, and most of each group of digits in a run.
 LEAST, GROUP = 6, 6
 
-#: Items whose contexts are hashed at once, and words that a worker remembers.
-ITEMS, MEMO_WORDS = 1 << 18, 1 << 20
+#: Items whose contexts are hashed at once, and words that a worker remembers (under half a KB each).
+ITEMS, MEMO_WORDS = 1 << 18, 1 << 17
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -146,9 +146,14 @@ keeps("pii", _memo.clear)
 
 
 def _keys(words: list[str]) -> list[int]:
-    if len(_memo) > MEMO_WORDS:
-        _memo.clear()
-    return [_memo[w] if w in _memo else _memo.setdefault(w, word_key(w)) for w in words]
+    got = [*map(_memo.get, words)]
+    if None in got:
+        for k, key in enumerate(got):
+            if key is None:
+                if len(_memo) >= MEMO_WORDS:
+                    _memo.clear()
+                got[k] = _memo[words[k]] = word_key(words[k])
+    return got
 
 
 def _spelled(tokens: list[str], k: int) -> int:

@@ -72,3 +72,11 @@ def test_patterns_that_outgrow_a_broadcast(spark, monkeypatch):
     believed = learn(docs)
     assert believed.count() > 12
     assert (texts(detect(docs, believed)), texts(redact(docs, believed))) == want
+
+
+def test_memo_of_words_is_bounded():
+    """A worker keeps some 60 MB of words, however many one text has, and keys are those of the words."""
+    words = [f"w{chr(97 + k % 26)}{k}" for k in range(300_000)] + ["end:"]
+    assert pii._keys(words) == [pii.word_key(w) for w in words]
+    assert len(pii._memo) <= 1 << 17
+    pii._memo.clear()
