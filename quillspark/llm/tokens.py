@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from string import punctuation
 
 import numpy as np
 
@@ -58,6 +59,7 @@ class TextEncoder:
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         self.characters = _byte_characters()
+        self.space = self.characters[0x20]
         self.split = regex.compile(PRETOKEN).findall
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -81,9 +83,19 @@ class TextEncoder:
             for k, ids in enumerate(got):
                 if ids is None:
                     piece = pieces[k]
-                    got[k] = ids = self._word(f" {piece}") if piece.isalpha() else self._joined(self.split(f" {piece}"))
-                    if len(piece) <= MEMO_CHARS:
-                        known[piece] = ids
+                    if piece.isalpha():
+                        ids = self._piece(piece)
+                    elif (stem := piece.rstrip(punctuation)) and stem.isalpha():
+                        # letters, then marks alone: two pre-tokens
+                        tail = piece[len(stem) :]
+                        ids = (known.get(stem) or self._piece(stem)) + (self.words.get(tail) or self._word(tail))
+                        if len(piece) <= MEMO_CHARS:
+                            known[piece] = ids
+                    else:
+                        ids = self._joined(self.split(f" {piece}"))
+                        if len(piece) <= MEMO_CHARS:
+                            known[piece] = ids
+                    got[k] = ids
         got.insert(0, self._joined(self.split(first)))
         return np.frombuffer(b"".join(got), "<u4")
 
@@ -91,6 +103,14 @@ class TextEncoder:
         words = self.words
         return b"".join([words[w] if w in words else self._word(w) for w in found])
 
+    def _piece(self, letters: str) -> bytes:
+        """Ids of the pre-token of a space and ``letters``, which is kept as a piece alone."""
+        as_bytes = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.characters)
+        ids = array("I", [t.id for t in self.model.tokenize(self.space + as_bytes)]).tobytes()
+        if len(letters) <= MEMO_CHARS:
+            self.chunks[letters] = ids
+        return ids
+
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token, by the library's model; kept where it is short."""
         ids = self.words.get(word)
