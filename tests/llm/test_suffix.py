@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from quillspark.llm.queries import op1_suffix_dedup
 from quillspark.llm.suffix import pieces, remove_repeats
 
 
@@ -55,3 +56,15 @@ def test_pieces_cover_each_window_once():
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_returns_what_is_left(spark, tmp_path):
+    passage = " ".join(f"word{k}" for k in range(70))
+    assert len(passage) >= 400
+    rows = [(1, f"One é{passage} end."), (2, f"Two ĩ{passage} end."), (3, "Clean é."), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    # é and ĩ end in the same byte, so the repeated string begins within a character
+    assert {k: r["text"] for k, r in got.items()} == {1: "One \ufffd", 2: "Two \ufffd", 3: "Clean é.", 4: ""}
+    assert got[1]["kept_sha256"] == hashlib.sha256(b"One \xc3").hexdigest()
+    assert got[3]["kept_sha256"] == hashlib.sha256("Clean é.".encode()).hexdigest()
